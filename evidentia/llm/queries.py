@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, pieces, simhash
+from . import packing, pieces, secrets, simhash
 from .common import table
 
 
@@ -31,12 +31,22 @@ def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_secret_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: counts of the base kinds, and all spans."""
+    docs = table(spark, sf_dir, "documents")
+    found = secrets.scan(docs, secrets.learn(docs))
+    base = F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.select("doc_id", *(count(k).alias(f"n_{k}") for k in secrets.BASE), F.sha2(secrets.listing(base), 256).alias("base_sha256"), secrets.listing(F.col("spans")).alias("spans"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoding of every document under the 32k piece vocabulary, as digests."""
     return pieces.digest_documents(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_secret_automata": op7_secret_automata,
     "op8_sentencepiece": op8_sentencepiece,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_simhash_components": op6_simhash_components,
