@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, pieces, secrets, simhash
-from .common import table
+from . import packing, pieces, rabitq, secrets, simhash, urls
+from .common import cut, table
 
 
 def tokenizer(name: str) -> str:
@@ -18,6 +18,19 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_rabitq_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every 20th vector among all others, by largest inner product."""
+    vectors = table(spark, sf_dir, "embeddings")
+    fitted = rabitq.fit(vectors)
+    indexed = cut(rabitq.index(vectors, fitted), "rabitq-index")
+    return rabitq.search(indexed.where("vec_id % 20 = 0").select("vec_id", "vector"), indexed, fitted)
+
+
+def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's URL."""
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every token piece of every document and its place in a sequence of 2048."""
     import public_tokenizers
@@ -48,6 +61,8 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_secret_automata": op7_secret_automata,
     "op8_sentencepiece": op8_sentencepiece,
+    "op1_rabitq_neighbours": op1_rabitq_neighbours,
+    "op2_url_rules": op2_url_rules,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_simhash_components": op6_simhash_components,
 }
