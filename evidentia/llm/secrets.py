@@ -209,10 +209,10 @@ def spans(text: str, model: Model) -> list[tuple[str, int, int, int]]:
 
 
 def _smallest(docs: DataFrame, n: int) -> DataFrame:
-    """The ``n`` texts with the smallest hash: the same ones whatever the partitions."""
+    """The ``n`` rows with the smallest id hashes, and rows that share the last one's id."""
     h = docs.select(F.xxhash64("doc_id").alias("h"))
     last = h.orderBy("h").limit(n).agg(F.max("h")).first()[0]
-    return docs.where(F.xxhash64("doc_id") <= F.lit(last)).limit(n) if last is not None else docs.limit(0)
+    return docs.where(F.xxhash64("doc_id") <= F.lit(last)) if last is not None else docs.limit(0)
 
 
 def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = 20_000, per_kind: int = 300, extra: list[tuple[str, str]] | None = None, margin: float = 7.0) -> Model:
