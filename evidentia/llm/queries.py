@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, pieces, rabitq, secrets, simhash, urls
+from . import packing, pieces, rabitq, secrets, sharding, simhash, urls
 from .common import cut, table
 
 
@@ -58,12 +58,19 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest_documents(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A place in one of 16 shards for every document, along a Hilbert curve."""
+    placed = sharding.assign(table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_secret_automata": op7_secret_automata,
     "op8_sentencepiece": op8_sentencepiece,
     "op1_rabitq_neighbours": op1_rabitq_neighbours,
     "op2_url_rules": op2_url_rules,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op10_hilbert_shards": op10_hilbert_shards,
     "op6_simhash_components": op6_simhash_components,
 }
 
