@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, pieces, rabitq, secrets, sharding, simhash, urls
+from . import packing, pieces, rabitq, secrets, sharding, simhash, spotsigs, urls
 from .common import cut, table
 
 
@@ -38,6 +38,13 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how near these are."""
+    found = spotsigs.edited_pairs(table(spark, sf_dir, "documents"))
+    prints = [spotsigs.as_text(F.col(c)).alias(c) for c in ("fingerprint", "edited_fingerprint")]
+    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *prints, "near_edited", "near_next")
+
+
 def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -71,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_rules": op2_url_rules,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op10_hilbert_shards": op10_hilbert_shards,
+    "op5_spotsigs": op5_spotsigs,
     "op6_simhash_components": op6_simhash_components,
 }
 
