@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, pieces, rabitq, secrets, sharding, simhash, spotsigs, urls
+from . import packing, pieces, rabitq, secrets, sharding, simhash, spotsigs, urls, winnow
 from .common import cut, table
 
 
@@ -65,6 +65,11 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest_documents(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op9_winnowed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without line runs that stand in an earlier place."""
+    return winnow.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A place in one of 16 shards for every document, along a Hilbert curve."""
     placed = sharding.assign(table(spark, sf_dir, "documents"))
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rabitq_neighbours": op1_rabitq_neighbours,
     "op2_url_rules": op2_url_rules,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op9_winnowed_lines": op9_winnowed_lines,
     "op10_hilbert_shards": op10_hilbert_shards,
     "op5_spotsigs": op5_spotsigs,
     "op6_simhash_components": op6_simhash_components,
