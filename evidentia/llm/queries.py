@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, pieces, rabitq, secrets, sharding, simhash, spotsigs, urls, winnow
+from . import linecrf, packing, pieces, rabitq, secrets, sharding, simhash, spotsigs, urls, winnow
 from .common import cut, table
 
 
@@ -31,6 +31,14 @@ def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op3_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learnt from the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = linecrf.learn(docs, table(spark, sf_dir, "labels"))
+    scored = linecrf.score(docs, model)
+    return scored.select("doc_id", linecrf.held_out(F.col("doc_id")).alias("held_out"), "score", linecrf.predicted(F.col("score")).alias("predicted"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every token piece of every document and its place in a sequence of 2048."""
     import public_tokenizers
@@ -81,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op1_rabitq_neighbours": op1_rabitq_neighbours,
     "op2_url_rules": op2_url_rules,
+    "op3_line_crf": op3_line_crf,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op9_winnowed_lines": op9_winnowed_lines,
     "op10_hilbert_shards": op10_hilbert_shards,
