@@ -85,8 +85,25 @@ def _signed(x: int) -> int:
 def forest(x: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Links that connect what the Hamming radius connects among distinct fingerprints.
 
-    At most ``len(x) - 1`` links, not all close pairs.
+    All close pairs while they are few; else a spanning forest, so that the number of links
+    stays in proportion to ``len(x)``.
     """
+    out, found = [], 0
+    for i in range(0, len(x) - 1, 128):
+        part = x[i : i + 128]
+        a, b = np.nonzero(np.bitwise_count(part[:, None] ^ x[None, i + 1 :]) <= radius)
+        later = b >= a  # columns begin one row further on
+        a, b = a[later], b[later]
+        found += len(a)
+        if found > 4 * len(x):
+            return _spanning(x, radius)
+        if len(a):
+            out.append((part[a], x[i + 1 + b]))
+    return out
+
+
+def _spanning(x: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """At most ``len(x) - 1`` links from the first fingerprint of each component to the others."""
     rest, out = x, []
     while len(rest) > 1:
         seed, rest = rest[0], rest[1:]
@@ -106,18 +123,26 @@ def forest(x: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+#: Runs up to this size are compared all at once, each row with the rows after it.
+SHORT = 8
+
+
 def _pairs_in_runs(combo, key, fp, radius: int, limit: int | None):
     """Links within runs of equal (combo, key); the rows of runs over ``limit``."""
     new = np.ones(len(fp), dtype=bool)
     new[1:] = (combo[1:] != combo[:-1]) | (key[1:] != key[:-1])
     starts = np.flatnonzero(new)
     sizes = np.diff(np.append(starts, len(fp)))
+    left = np.repeat(np.where(sizes <= SHORT, starts + sizes, 0), sizes) - np.arange(len(fp))  # rows to the end of a short run
     links = []
-    two = starts[sizes == 2]
-    near = np.bitwise_count(fp[two] ^ fp[two + 1]) <= radius
-    links.append((fp[two[near]], fp[two[near] + 1]))
+    for d in range(1, SHORT):
+        at = np.flatnonzero(left > d)
+        if not len(at):
+            break
+        near = at[np.bitwise_count(fp[at] ^ fp[at + d]) <= radius]
+        links.append((fp[near], fp[near + d]))
     heavy = np.zeros(len(fp), dtype=bool)
-    for s, n in zip(starts[sizes > 2], sizes[sizes > 2]):
+    for s, n in zip(starts[sizes > SHORT], sizes[sizes > SHORT]):
         if limit and n > limit:
             heavy[s : s + n] = True
         else:
@@ -187,7 +212,7 @@ def links(distinct: DataFrame, radius: int = 3, blocks: int = 6, shared: int = 3
     by each choice of blocks and only compared within a key. A key with more than
     ``max_run`` fingerprints is split again by blocks of the bits that its key leaves
     open, twice at most: then at most 2^16 values (of the default setting) share a key.
-    Returns links of a spanning forest for each key, not all pairs.
+    Where a key holds many close pairs, links of a spanning forest stand for them.
     """
     if blocks - shared < radius:
         raise ValueError("blocks - shared must be at least the radius")
