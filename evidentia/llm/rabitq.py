@@ -18,6 +18,8 @@ from pyspark.sql.window import Window
 
 #: Rows of a block of candidates, and of queries: what one task holds.
 CANDIDATES, QUERIES = 8192, 4096
+#: Bits of a code for each component: vectors are rotated into so many times their dimensions.
+EXPAND = 4
 #: Width of the error bound in units of its scale: at 2.5 it fails for about 1 in 100 vectors
 #: that are near the edge, far less than the recall asked for.
 EPSILON = 2.5
@@ -27,10 +29,10 @@ SAMPLE, CENTRES = 4096, 16
 EXACT = 1 << 19
 
 
-def rotation(dim: int, seed: int = 11) -> np.ndarray:
-    """A random orthogonal matrix, the same on every machine."""
-    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, dim)))
-    return q * np.sign(np.diag(r))
+def rotation(dim: int, expand: int = EXPAND, seed: int = 11) -> np.ndarray:
+    """A random rotation of ``dim`` dimensions into ``expand`` times as many, the same on every machine."""
+    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim * expand, dim)))
+    return (q * np.sign(np.diag(r))).T
 
 
 def centres(x: np.ndarray, k: int = CENTRES, rounds: int = 8) -> np.ndarray:
@@ -87,7 +89,7 @@ def index(vectors: DataFrame, fitted: dict[int, np.ndarray], vec_id: str = "vec_
                 norm = np.sqrt((rest**2).sum(axis=1))
                 turned = (rest / np.where(norm > 0, norm, 1)[:, None]) @ rotation(int(d))
                 bits = turned > 0
-                agreement = np.where(norm > 0, np.abs(turned).sum(axis=1) / np.sqrt(d), 1.0)
+                agreement = np.where(norm > 0, np.abs(turned).sum(axis=1) / np.sqrt(turned.shape[1]), 1.0)
                 codes = [row.tobytes() for row in np.packbits(bits, axis=1)]
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), own, pa.array(near.astype(np.int32)), pa.array(codes, pa.binary()), pa.array(norm), pa.array(agreement)], names=names)
 
@@ -111,27 +113,43 @@ def _matrix(t: pa.Table, name: str, d: int) -> np.ndarray:
 
 
 def _nearest_in_block(q_ids, q, x_ids, x, centre, codes, norm, agreement, c, k, epsilon):
-    """(query position, candidate position, score) of each query's ``k`` nearest of the block."""
+    """(query position, candidate position, score) of each query's ``k`` nearest of the block.
+
+    The best by estimate are scored first; their ``k``-th score is the bar that another
+    candidate's upper bound must reach for it to be scored, too.
+    """
     d = q.shape[1]
-    signs = np.unpackbits(np.frombuffer(b"".join(codes), dtype=np.uint8).reshape(len(codes), -1), axis=1, count=d).astype(np.float32) * 2 - 1
-    turned = (q @ rotation(d)).astype(np.float32)
-    scale = (norm / (agreement * np.sqrt(d))).astype(np.float32)
-    error = norm * np.sqrt(np.maximum(0, 1 - agreement**2)) / agreement / np.sqrt(max(1, d - 1)) * epsilon
-    length = np.sqrt((q**2).sum(axis=1))
-    base = q @ c.T
+    turn = rotation(d)
+    bits = turn.shape[1]
+    signs = np.unpackbits(np.frombuffer(b"".join(codes), dtype=np.uint8).reshape(len(codes), -1), axis=1, count=bits).astype(np.float32) * 2 - 1
+    scale = (norm / (agreement * np.sqrt(bits))).astype(np.float32)
+    error = (norm * np.sqrt(np.maximum(0, 1 - agreement**2)) / agreement / np.sqrt(max(1, bits - 1)) * epsilon).astype(np.float32)
+    turned, base = (q @ turn).astype(np.float32), (q @ c.T).astype(np.float32)
+    length = np.sqrt((q**2).sum(axis=1)).astype(np.float32)
+    signs, first = signs.T, min(4 * k, len(x_ids))
+
+    def scored(rows, columns):
+        parts = [exact(q[rows[i : i + EXACT]], x[columns[i : i + EXACT]]) for i in range(0, len(rows), EXACT)]
+        return np.concatenate(parts) if parts else np.zeros(0)
+
     for lo in range(0, len(q), 256):
-        part = slice(lo, lo + 256)
-        estimate = (turned[part] @ signs.T) * scale + base[part][:, centre]
-        slack = length[part, None] * error + 1e-6 * (1 + np.abs(estimate))
-        own = q_ids[part, None] == x_ids[None, :]
-        lower = np.where(own, -np.inf, estimate - slack)
-        bar = np.partition(lower, -k, axis=1)[:, -k] if len(x_ids) > k else np.full(len(lower), -np.inf)
-        rows, columns = np.nonzero((estimate + slack >= bar[:, None]) & ~own)
-        score = np.concatenate([exact(q[lo + rows[i : i + EXACT]], x[columns[i : i + EXACT]]) for i in range(0, len(rows), EXACT)] or [np.zeros(0)])
+        estimate = (turned[lo : lo + 256] @ signs) * scale + base[lo : lo + 256][:, centre]
+        own = q_ids[lo : lo + 256, None] == x_ids[None, :]
+        estimate[own] = -np.inf
+        best = np.argpartition(-estimate, first - 1, axis=1)[:, :first]
+        at = np.repeat(np.arange(len(estimate)), first)
+        score = scored(lo + at, best.ravel()).reshape(-1, first)
+        score[np.take_along_axis(own, best, axis=1)] = -np.inf
+        bar = -np.partition(-score, k - 1, axis=1)[:, k - 1] if first >= k else np.full(len(score), -np.inf)
+        bar = bar - 1e-5 * (1 + np.abs(np.where(np.isfinite(bar), bar, 0)))  # single precision of the estimates
+        estimate += length[lo : lo + 256, None] * error
+        reach = (estimate >= bar.astype(np.float32)[:, None]) & ~own
+        np.put_along_axis(reach, best, np.take_along_axis(~own, best, axis=1), axis=1)
+        rows, columns = np.nonzero(reach)
+        score = scored(lo + rows, columns)
         order = np.lexsort((x_ids[columns], -score, rows))
         rows, columns, score = rows[order], columns[order], score[order]
-        rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
-        top = rank < k
+        top = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
         yield lo + rows[top], columns[top], score[top]
 
 

@@ -60,8 +60,10 @@ def test_bound_holds():
     rng = np.random.default_rng(3)
     x, q = rng.standard_normal((4000, 64)), rng.standard_normal((20, 64))
     norm = np.sqrt((x**2).sum(1))
-    t = (x / norm[:, None]) @ rabitq.rotation(64)
-    agree = np.abs(t).sum(1) / 8
-    estimate = (q @ rabitq.rotation(64)) @ np.sign(t).T / 8 / agree * norm
-    error = norm * np.sqrt(1 - agree**2) / agree / np.sqrt(63) * rabitq.EPSILON * np.sqrt((q**2).sum(1))[:, None]
+    turn = rabitq.rotation(64)
+    bits = turn.shape[1]
+    t = (x / norm[:, None]) @ turn
+    agree = np.abs(t).sum(1) / np.sqrt(bits)
+    estimate = (q @ turn) @ np.sign(t).T / np.sqrt(bits) / agree * norm
+    error = norm * np.sqrt(1 - agree**2) / agree / np.sqrt(bits - 1) * rabitq.EPSILON * np.sqrt((q**2).sum(1))[:, None]
     assert (np.abs(estimate - q @ x.T) <= error).mean() > 0.98
