@@ -108,7 +108,7 @@ def probe_split(answers: DataFrame, n: int = TOP) -> DataFrame:
     for_ = ((F.col("probe") == "subject_role") & (F.col("answer") == "present_as_subject")) | ((F.col("probe") == "object_role") & (F.col("answer") == "present_as_object")) | ((F.col("probe") == "relation_axis") & (F.col("answer") == "direct_sign_match")) | ((F.col("probe") == "scope") & (F.col("answer") == "asserted"))
     against = ((F.col("probe") == "scope") & (F.col("answer") == "negated")) | F.col("answer").isin("absent", "present_as_decoy", "direct_sign_mismatch", "direct_axis_mismatch", "no_relation")
     v = F.when(for_, 1.0).when(against, -1.0).otherwise(0.0)
-    return answers.groupBy("stmt_hash").agg(F.stddev_pop(v).alias("probe_stdev")).where("probe_stdev > 0").orderBy(F.desc("probe_stdev"), "stmt_hash").limit(n)
+    return answers.groupBy("stmt_hash").agg(F.stddev_pop(v).alias("probe_stdev")).where("probe_stdev > 0").orderBy(F.desc(F.round("probe_stdev", 9)), "stmt_hash").limit(n)
 
 
 def moved(steps: DataFrame, current: str, previous: str, way: str = "down", n: int | None = TOP, first: int | None = None) -> DataFrame:

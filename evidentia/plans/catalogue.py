@@ -213,7 +213,7 @@ def coverage_rates(v):
 
 @query("""WITH a AS (SELECT stmt_hash, CASE WHEN answer IN ('present_as_subject') AND probe = 'subject_role' OR answer = 'present_as_object' AND probe = 'object_role' OR answer = 'direct_sign_match' AND probe = 'relation_axis' OR answer = 'asserted' AND probe = 'scope' THEN 1.0
   WHEN answer = 'negated' AND probe = 'scope' OR answer IN ('absent', 'present_as_decoy', 'direct_sign_mismatch', 'direct_axis_mismatch', 'no_relation') THEN -1.0 ELSE 0.0 END AS vote FROM {answer})
-  SELECT stmt_hash, round(s, 6) AS probe_stdev FROM (SELECT stmt_hash, stddev_pop(CAST(vote AS DOUBLE)) AS s FROM a GROUP BY 1) WHERE s > 0 ORDER BY s DESC, stmt_hash LIMIT 5""")
+  SELECT stmt_hash, round(s, 6) AS probe_stdev FROM (SELECT stmt_hash, stddev_pop(CAST(vote AS DOUBLE)) AS s FROM a GROUP BY 1) WHERE s > 0 ORDER BY round(s, 9) DESC, stmt_hash LIMIT 5""")
 def probe_split_topk(v):
     return rounded(reads.probe_split(v("answer")))
 
