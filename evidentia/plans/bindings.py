@@ -47,6 +47,10 @@ VIEWS: dict[str, str] = {
         CASE part % 4 WHEN 0 THEN 'grounding' WHEN 1 THEN 'polarity' ELSE 'correct' END AS tag, CASE WHEN flag_b = 'R' THEN TRUE ELSE FALSE END AS kept FROM {evidence}""",
     "judged": """SELECT evidence_hash AS id, CASE flag_a WHEN 'A' THEN 'correct' WHEN 'N' THEN 'abstain' ELSE 'incorrect' END AS old,
         CASE flag_b WHEN 'R' THEN 'correct' WHEN 'N' THEN 'abstain' ELSE 'incorrect' END AS new, CASE part % 2 WHEN 0 THEN 'correct' ELSE 'incorrect' END AS gold, source_api FROM {evidence}""",
+    "sentence": """SELECT evidence_hash, stmt_hash, part % 8 AS verb, CASE supp % 4 WHEN 0 THEN 'Phosphorylation' WHEN 1 THEN 'Activation' WHEN 2 THEN 'Inhibition' ELSE 'Complex' END AS stmt_type,
+        concat('GS', CAST(supp % 53 AS STRING)) AS subject, concat('GP', CAST(part % 97 AS STRING)) AS object,
+        concat('GS', CAST(supp % 53 AS STRING), CASE part % 8 WHEN 0 THEN ' phosphorylates ' WHEN 1 THEN ' activates ' WHEN 2 THEN ' inhibits the activation of ' WHEN 3 THEN ' binds to '
+        WHEN 4 THEN ' upregulates ' WHEN 5 THEN ' does not activate ' WHEN 6 THEN ' may signal to ' ELSE ' and ' END, 'GP', CAST(part % 97 AS STRING), CASE part % 3 WHEN 0 THEN ' via MEK1.' WHEN 1 THEN ' in the RAF/MEK/ERK pathway.' ELSE '.' END) AS text FROM {evidence}""",
     "example": "SELECT item_id AS example_id, text FROM {benchmark}",
     "eval": "SELECT doc_id AS eval_id, text FROM {documents}",
 }
