@@ -21,10 +21,21 @@ def exact(examples: DataFrame, evals: DataFrame) -> DataFrame:
     return a.join(evals.select("eval_id", normalised(F.col("text")).alias("t")), "t").where("t <> ''").select("example_id", "eval_id")
 
 
-def _windows(text: Column, size: int, step: int) -> Column:
-    """Starts (from 1) of the windows of a text, none if it is shorter."""
-    last = F.length(text) - size
-    return F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(step))).otherwise(F.array().cast("array<int>"))
+#: Characters of a text whose windows are made at once.
+CHUNK = 4096
+
+
+def _shingles(rows: DataFrame, key: str, text: str, size: int) -> DataFrame:
+    """``key, at, w``: every window of ``size`` characters of a text, and where it starts.
+
+    Texts are first cut into overlapping chunks, so a row's windows are bounded whatever the
+    text's length, and a chunk's windows come from one pass over it.
+    """
+    starts = F.sequence(F.lit(0), F.greatest(F.length(text) - size, F.lit(0)), F.lit(CHUNK))
+    chunks = rows.where(F.length(text) >= size).select(key, text, F.explode(starts).alias("from"))
+    chunks = chunks.select(key, "from", F.substring(F.col(text), F.col("from") + 1, F.lit(CHUNK + size - 1)).alias("c"))
+    windows = F.regexp_extract_all("c", F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
+    return chunks.select(key, "from", F.posexplode(windows).alias("i", "w")).select(key, (F.col("from") + F.col("i")).alias("at"), "w")
 
 
 def contained(examples: DataFrame, evals: DataFrame, least: int = LEAST) -> DataFrame:
@@ -41,8 +52,8 @@ def contained(examples: DataFrame, evals: DataFrame, least: int = LEAST) -> Data
 
 def _inside(small: DataFrame, large: DataFrame, small_id: str, s: str, large_id: str, t: str, least: int) -> DataFrame:
     keyed = small.where(F.length(s) >= least).withColumn("k", F.xxhash64(F.substring(F.col(s), 1, least)))
-    shingles = large.select(large_id, F.explode(F.array_distinct(F.transform(_windows(F.col(t), least, 1), lambda i: F.xxhash64(F.substring(F.col(t), i + 1, F.lit(least)))))).alias("k"))
-    met = keyed.join(shingles.join(keyed.select("k").distinct(), "k", "left_semi"), "k").select(small_id, large_id, s)
+    shingles = _shingles(large, large_id, t, least).select(large_id, F.xxhash64("w").alias("k"))
+    met = keyed.join(shingles, "k").select(small_id, large_id, s).distinct()
     return met.join(large, large_id).where(F.contains(F.col(t), F.col(s)) & (F.col(t) != F.col(s))).select(small_id, large_id)
 
 
@@ -50,11 +61,9 @@ def shared_windows(examples: DataFrame, evals: DataFrame, size: int = WINDOW, st
     """Pairs of which a window of the example (every ``step`` characters) stands in the evaluation text."""
     a = examples.select("example_id", normalised(F.col("text")).alias("t")).where(F.length("t") >= size)
     b = evals.select("eval_id", normalised(F.col("text")).alias("u")).where(F.length("u") >= size)
-    cutout = lambda c: lambda i: F.substring(F.col(c), i + 1, F.lit(size))
-    probes = a.select("example_id", F.explode(F.array_distinct(F.transform(_windows(F.col("t"), size, step), cutout("t")))).alias("w"))
-    keys = probes.select(F.xxhash64("w").alias("k")).distinct()
-    shingles = b.select("eval_id", F.explode(F.array_distinct(F.transform(_windows(F.col("u"), size, 1), lambda i: F.xxhash64(cutout("u")(i))))).alias("k")).join(keys, "k", "left_semi")
-    met = probes.withColumn("k", F.xxhash64("w")).join(shingles, "k").select("example_id", "eval_id", "w")
+    probes = _shingles(a, "example_id", "t", size).where(F.col("at") % step == 0).select("example_id", "w").distinct().withColumn("k", F.xxhash64("w"))
+    shingles = _shingles(b, "eval_id", "u", size).select("eval_id", F.xxhash64("w").alias("k"))
+    met = probes.join(shingles, "k").select("example_id", "eval_id", "w").distinct()
     return met.join(b, "eval_id").where(F.contains("u", F.col("w"))).select("example_id", "eval_id").distinct()
 
 
