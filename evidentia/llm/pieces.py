@@ -11,6 +11,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,9 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Distinct segments whose ids a Python worker keeps, and the longest that it keeps.
-CACHE, CACHE_CHARS = 300_000, 48
+CACHE, CACHE_CHARS = 400_000, 48
+#: New words that one call to the library checks, as one text.
+CHECKED = 100
 
 
 class PieceCodec:
@@ -62,9 +65,9 @@ class PieceCodec:
         self._one = {c: i.to_bytes(4, "little") for c, i in self.ids.items()}
 
     def _agenda(self, text: str) -> list[str]:
+        rank, n = self.rank.get, len(text)
+        agenda = [(r, i, p) for i, p in enumerate(map(add, text, text[1:])) if (r := rank(p)) is not None]
         symbols: list[str | None] = list(text)
-        rank, n = self.rank.get, len(symbols)
-        agenda = [(r, i, p) for i in range(n - 1) if (r := rank(p := symbols[i] + symbols[i + 1])) is not None]
         if not agenda:
             return symbols
         heapify(agenda)
@@ -86,19 +89,22 @@ class PieceCodec:
 
     def _segment(self, text: str) -> bytes:
         """Ids of a piece of normalised text, as little-endian unsigned 32-bit integers."""
-        one, out = self._one, []
-        for s in self._agenda(text):
-            out.append(one[s] if s in one else b"".join(self.bytes[b].to_bytes(4, "little") for b in s.encode()))
-        return b"".join(out)
+        one = self._one
+        try:
+            return b"".join([one[s] for s in self._agenda(text)])
+        except KeyError:  # a character without a piece is its bytes
+            return b"".join([one[s] if s in one else b"".join(self.bytes[b].to_bytes(4, "little") for b in s.encode()) for s in self._agenda(text)])
 
     def _new(self, words: list[str]) -> dict[str, bytes]:
         """Ids of words, each without the one space before it, held against the library."""
         found = {w: self._segment(SPACE + w) for w in words}
         if self.check == "segments":
-            own = [w for w in words if w]  # the library takes an empty text as no text
-            for w, ids in zip(own, self.library.encode([w.replace(SPACE, " ") for w in own], num_threads=1)):
-                if np.array(ids, dtype="<u4").tobytes() != found[w]:
-                    raise AssertionError(f"the library encodes {w!r} as {ids}")
+            own = [w for w in words if w]  # a space alone is no word after others
+            for at in range(0, len(own), CHECKED):
+                part = own[at : at + CHECKED]
+                ids = self.library.encode(" ".join(part).replace(SPACE, " "))
+                if np.array(ids, dtype="<u4").tobytes() != b"".join([found[w] for w in part]):
+                    raise AssertionError(f"the library encodes {part!r} as {ids}")
         return found
 
     def _of_words(self, words: list[str]) -> list[bytes]:
