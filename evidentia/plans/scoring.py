@@ -92,7 +92,7 @@ _SET = lambda vs: "(VALUES " + ", ".join(f"('{x}')" for x in vs) + ")"  # noqa:
   WHEN r = 'abstain' THEN 'abstain/' ELSE scoped END AS outcome FROM z""")
 def adjudicate(v):
     spark = v("region").sparkSession
-    of = lambda c, xs: spark.createDataFrame([(x,) for x in xs], f"{c} string")
+    of = lambda c, xs: spark.createDataFrame([(x,) for x in xs], f"{c} string").coalesce(1)
     grid = of("s", routing.ROLES).crossJoin(of("o", routing.ROLES)).crossJoin(of("r", routing.ANSWERS["relation_axis"])).crossJoin(of("c", routing.ANSWERS["scope"])).crossJoin(of("t", ["Activation", "Complex", "Phosphorylation"]))  # fixed lists
     probe = lambda c: F.struct(F.col(c).alias("answer"), F.lit("llm").alias("source"))
     axis = F.when(F.col("t") == "Complex", "binding").otherwise("activity")
