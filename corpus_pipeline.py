@@ -6,15 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import linecrf, packing, secrets, simhash, winnow
+from evidentia.llm import linecrf, packing, secrets, similar, winnow
 from evidentia.llm.common import cut, table
 from evidentia.llm.queries import tokenizer
 
-#: Fingerprints link at so many differing bits (of 64, three-word shingles): at up to 6 they
-#: find most texts whose five-word shingles are alike by 0.8 or more, and nothing unlike.
-RADIUS, BLOCKS, SHARED = 6, 8, 2
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line field, learnt from the labels, holds to be good."""
     model = linecrf.learn(docs, table(spark, sf_dir, "labels"))
@@ -28,8 +23,11 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest doc_id, of each group of near copies; rows without an id stay."""
-    groups = simhash.near_duplicates(docs, radius=RADIUS, blocks=BLOCKS, shared=SHARED)
+    """One document, the smallest doc_id, of each group of near copies; rows without an id stay.
+
+    Near copies: SimHash links between texts whose five-word shingles are alike by 0.8 or more.
+    """
+    groups = similar.similar_groups(docs)
     first = groups.where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(first, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(*docs.columns)
 

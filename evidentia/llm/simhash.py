@@ -21,30 +21,41 @@ CHUNK = 1 << 16
 MAX_RUN = 4096
 
 
-def simhash(raw: bytes | None, shingle_words: int = 3, seed: int = 42) -> int:
-    """64-bit SimHash of UTF-8 text, A-Z lower-cased, cut at ASCII white space.
+def words_of(raw: bytes | None) -> list[bytes]:
+    """Words of UTF-8 text, A-Z lower-cased, cut at ASCII white space."""
+    return raw.lower().split() if raw else []
 
-    Every shingle counts as often as it stands there. Fewer words than a shingle has: the
-    whole sequence is the one shingle. No words (or null): 0.
-    """
-    words = raw.lower().split() if raw else []
+
+def shingles(words: list[bytes], k: int) -> list[bytes]:
+    """Every run of ``k`` words, joined by spaces; of fewer words the whole sequence, of none nothing."""
     if not words:
-        return 0
-    k = min(shingle_words, len(words))
+        return []
+    k = min(k, len(words))
     line = b" ".join(words)
     ends, at = [], -1
     for w in words:
         at += len(w) + 1
         ends.append(at)
     starts = [0, *(x + 1 for x in ends[: len(words) - k])]
+    return [line[a:b] for a, b in zip(starts, ends[k - 1 :])]
+
+
+def simhash(raw: bytes | None, shingle_words: int = 3, seed: int = 42) -> int:
+    """64-bit SimHash of UTF-8 text, A-Z lower-cased, cut at ASCII white space.
+
+    Every shingle counts as often as it stands there. Fewer words than a shingle has: the
+    whole sequence is the one shingle. No words (or null): 0.
+    """
+    return simhash_of(shingles(words_of(raw), shingle_words), seed)
+
+
+def simhash_of(parts: list[bytes], seed: int = 42) -> int:
+    """64-bit SimHash of shingles, repeats included; of none 0."""
     digest = xxhash.xxh64_intdigest
     ones = np.zeros(BITS, dtype=np.int64)
-    n = len(starts)
+    n = len(parts)
     for c in range(0, n, CHUNK):
-        h = np.array(
-            [digest(line[a:b], seed) for a, b in zip(starts[c : c + CHUNK], ends[k - 1 + c : k - 1 + c + CHUNK])],
-            dtype="<u8",
-        )
+        h = np.array([digest(x, seed) for x in parts[c : c + CHUNK]], dtype="<u8")
         bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int64)
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
@@ -82,11 +93,11 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def forest(x: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def forest(x: np.ndarray, radius: int, dense: list[np.ndarray] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
     """Links that connect what the Hamming radius connects among distinct fingerprints.
 
     All close pairs while they are few; else a spanning forest, so that the number of links
-    stays in proportion to ``len(x)``.
+    stays in proportion to ``len(x)``, and ``x`` is added to ``dense``.
     """
     out, found = [], 0
     for i in range(0, len(x) - 1, 128):
@@ -96,6 +107,8 @@ def forest(x: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
         a, b = a[later], b[later]
         found += len(a)
         if found > 4 * len(x):
+            if dense is not None:
+                dense.append(x)
             return _spanning(x, radius)
         if len(a):
             out.append((part[a], x[i + 1 + b]))
@@ -128,13 +141,16 @@ SHORT = 8
 
 
 def _pairs_in_runs(combo, key, fp, radius: int, limit: int | None):
-    """Links within runs of equal (combo, key); the rows of runs over ``limit``."""
+    """Links within runs of equal (combo, key); the rows of runs over ``limit``.
+
+    A fingerprint linked to itself stands in a run for whose close pairs a forest stands.
+    """
     new = np.ones(len(fp), dtype=bool)
     new[1:] = (combo[1:] != combo[:-1]) | (key[1:] != key[:-1])
     starts = np.flatnonzero(new)
     sizes = np.diff(np.append(starts, len(fp)))
     left = np.repeat(np.where(sizes <= SHORT, starts + sizes, 0), sizes) - np.arange(len(fp))  # rows to the end of a short run
-    links = []
+    links, dense = [], []
     for d in range(1, SHORT):
         at = np.flatnonzero(left > d)
         if not len(at):
@@ -146,14 +162,14 @@ def _pairs_in_runs(combo, key, fp, radius: int, limit: int | None):
         if limit and n > limit:
             heavy[s : s + n] = True
         else:
-            links += forest(fp[s : s + n], radius)
-    return links, heavy
+            links += forest(fp[s : s + n], radius, dense)
+    return links + [(x, x) for x in dense], heavy
 
 
 def _link_pass(keyed: DataFrame, radius: int, limit: int | None) -> DataFrame:
     """One pass over rows (combo, key, fp) sorted by key: rows (combo, u, v).
 
-    combo -1: a link. Else the row ``u`` of a run of more than ``limit`` fingerprints under
+    combo -1: a link; with ``u = v``, a fingerprint for whose links a forest stands. Else the row ``u`` of a run of more than ``limit`` fingerprints under
     that combo, which is to be split further; such runs stream through, unbuffered.
     """
     schema = "combo int, u long, v long"
@@ -212,7 +228,8 @@ def links(distinct: DataFrame, radius: int = 3, blocks: int = 6, shared: int = 3
     by each choice of blocks and only compared within a key. A key with more than
     ``max_run`` fingerprints is split again by blocks of the bits that its key leaves
     open, twice at most: then at most 2^16 values (of the default setting) share a key.
-    Where a key holds many close pairs, links of a spanning forest stand for them.
+    Where a key holds many close pairs, links of a spanning forest stand for them, and each
+    fingerprint there is also linked to itself.
     """
     if blocks - shared < radius:
         raise ValueError("blocks - shared must be at least the radius")

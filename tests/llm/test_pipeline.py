@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from evidentia.llm import linecrf, secrets
-from tests.llm.test_simhash import classes, plain
+from tests.llm.test_similar import groups
 from tests.llm.test_winnow import brute
 
 HEX40 = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
@@ -69,7 +69,7 @@ def test_each_stage(spark, stages):
         assert all(x in kept for j, x in enumerate(all_lines) if j not in may[i])
         assert (i in lined) == (bool(kept) or not all_lines)
     ids = sorted(lined)
-    roots = [ids[c] for c in classes([plain(lined[i]) for i in ids], corpus_pipeline.RADIUS)]
+    roots = [ids[c] for c in groups([lined[i] for i in ids])]
     assert single == {i: lined[i] for i, r in zip(ids, roots) if i == r}
     assert 201 in lined and 201 not in single
     for i, t in single.items():
