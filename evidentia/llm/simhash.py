@@ -93,11 +93,11 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def forest(x: np.ndarray, radius: int, dense: list[np.ndarray] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+def forest(x: np.ndarray, radius: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], bool]:
     """Links that connect what the Hamming radius connects among distinct fingerprints.
 
-    All close pairs while they are few; else a spanning forest, so that the number of links
-    stays in proportion to ``len(x)``, and ``x`` is added to ``dense``.
+    All close pairs and False while they are few; else a spanning forest and True, so that
+    the number of links stays in proportion to ``len(x)``.
     """
     out, found = [], 0
     for i in range(0, len(x) - 1, 128):
@@ -107,12 +107,10 @@ def forest(x: np.ndarray, radius: int, dense: list[np.ndarray] | None = None) ->
         a, b = a[later], b[later]
         found += len(a)
         if found > 4 * len(x):
-            if dense is not None:
-                dense.append(x)
-            return _spanning(x, radius)
+            return _spanning(x, radius), True
         if len(a):
             out.append((part[a], x[i + 1 + b]))
-    return out
+    return out, False
 
 
 def _spanning(x: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -140,36 +138,48 @@ def _spanning(x: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]
 SHORT = 8
 
 
-def _pairs_in_runs(combo, key, fp, radius: int, limit: int | None):
-    """Links within runs of equal (combo, key); the rows of runs over ``limit``.
+def _first_only(u, v, combo, masks: np.ndarray | None):
+    """The pairs ``u, v`` that agree on no mask before the one of their ``combo``."""
+    if masks is None or not len(u):
+        return u, v
+    first = (((u ^ v)[:, None] & masks[None, :]) == 0).argmax(axis=1)
+    return u[first == combo], v[first == combo]
+
+
+def _pairs_in_runs(combo, key, fp, radius: int, limit: int | None, masks: np.ndarray | None):
+    """Links within runs of equal (combo, key), links of forests, and the rows of runs over ``limit``.
 
-    A fingerprint linked to itself stands in a run for whose close pairs a forest stands.
+    With ``masks``, a pair is only a link under the first mask on which it agrees.
     """
     new = np.ones(len(fp), dtype=bool)
     new[1:] = (combo[1:] != combo[:-1]) | (key[1:] != key[:-1])
     starts = np.flatnonzero(new)
     sizes = np.diff(np.append(starts, len(fp)))
     left = np.repeat(np.where(sizes <= SHORT, starts + sizes, 0), sizes) - np.arange(len(fp))  # rows to the end of a short run
-    links, dense = [], []
+    links, forests = [], []
     for d in range(1, SHORT):
         at = np.flatnonzero(left > d)
         if not len(at):
             break
         near = at[np.bitwise_count(fp[at] ^ fp[at + d]) <= radius]
-        links.append((fp[near], fp[near + d]))
+        links.append(_first_only(fp[near], fp[near + d], combo[near], masks))
     heavy = np.zeros(len(fp), dtype=bool)
     for s, n in zip(starts[sizes > SHORT], sizes[sizes > SHORT]):
         if limit and n > limit:
             heavy[s : s + n] = True
         else:
-            links += forest(fp[s : s + n], radius, dense)
-    return links + [(x, x) for x in dense], heavy
+            found, dense = forest(fp[s : s + n], radius)
+            if dense:
+                forests += found
+            else:
+                links += [_first_only(u, v, combo[s], masks) for u, v in found]
+    return links, forests, heavy
 
 
-def _link_pass(keyed: DataFrame, radius: int, limit: int | None) -> DataFrame:
+def _link_pass(keyed: DataFrame, radius: int, limit: int | None, masks: np.ndarray | None = None) -> DataFrame:
     """One pass over rows (combo, key, fp) sorted by key: rows (combo, u, v).
 
-    combo -1: a link; with ``u = v``, a fingerprint for whose links a forest stands. Else the row ``u`` of a run of more than ``limit`` fingerprints under
+    combo -1: a link; -2: a link of a forest that stands for the close pairs of its run. Else the row ``u`` of a run of more than ``limit`` fingerprints under
     that combo, which is to be split further; such runs stream through, unbuffered.
     """
     schema = "combo int, u long, v long"
@@ -178,10 +188,10 @@ def _link_pass(keyed: DataFrame, radius: int, limit: int | None) -> DataFrame:
         held: list[tuple] = []
         count, streaming = 0, None
 
-        def emit(links, extra=None):
-            us = [a for a, _ in links] + ([extra[1]] if extra else [])
-            vs = [b for _, b in links] + ([extra[1]] if extra else [])
-            cs = [np.full(len(a), -1, dtype=np.int32) for a, _ in links] + ([extra[0]] if extra else [])
+        def emit(links, forests, extra):
+            us = [a for a, _ in links + forests] + [extra[1]]
+            vs = [b for _, b in links + forests] + [extra[1]]
+            cs = [np.full(len(a), -1) for a, _ in links] + [np.full(len(a), -2) for a, _ in forests] + [extra[0]]
             if sum(map(len, us)):
                 arrays = [np.concatenate(cs).astype(np.int32), np.concatenate(us).view(np.int64), np.concatenate(vs).view(np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=["combo", "u", "v"])
@@ -194,7 +204,7 @@ def _link_pass(keyed: DataFrame, radius: int, limit: int | None) -> DataFrame:
             if streaming is not None:
                 same = (c == streaming[0]) & (k == streaming[1])
                 if same.any():
-                    yield from emit([], (c[same], f[same]))
+                    yield from emit([], [], (c[same], f[same]))
                 if same.all():
                     continue
                 c, k, f, streaming = c[~same], k[~same], f[~same], None
@@ -204,16 +214,16 @@ def _link_pass(keyed: DataFrame, radius: int, limit: int | None) -> DataFrame:
             c, k, f = (np.concatenate([x[i] for x in held]) for i in range(3))
             tail = (c == c[-1]) & (k == k[-1])
             if not tail.all():
-                links, heavy = _pairs_in_runs(c[~tail], k[~tail], f[~tail], radius, limit)
-                yield from emit(links, (c[~tail][heavy], f[~tail][heavy]))
+                links, forests, heavy = _pairs_in_runs(c[~tail], k[~tail], f[~tail], radius, limit, masks)
+                yield from emit(links, forests, (c[~tail][heavy], f[~tail][heavy]))
             held, count = [(c[tail], k[tail], f[tail])], int(tail.sum())
             if limit and count > limit:
-                yield from emit([], (c[tail], f[tail]))
+                yield from emit([], [], (c[tail], f[tail]))
                 held, count, streaming = [], 0, (c[-1], k[-1])
         if held:
             c, k, f = (np.concatenate([x[i] for x in held]) for i in range(3))
-            links, heavy = _pairs_in_runs(c, k, f, radius, limit)
-            yield from emit(links, (c[heavy], f[heavy]))
+            links, forests, heavy = _pairs_in_runs(c, k, f, radius, limit, masks)
+            yield from emit(links, forests, (c[heavy], f[heavy]))
 
     n = partitions(keyed.sparkSession)
     dealt = keyed.repartition(n, "combo", "key").sortWithinPartitions("combo", "key")
@@ -221,15 +231,15 @@ def _link_pass(keyed: DataFrame, radius: int, limit: int | None) -> DataFrame:
 
 
 def links(distinct: DataFrame, radius: int = 3, blocks: int = 6, shared: int = 3, max_run: int = MAX_RUN) -> DataFrame:
-    """Links ``u, v`` that connect all fingerprints at most ``radius`` bits apart.
+    """Links ``u, v, dense`` that connect all fingerprints at most ``radius`` bits apart.
 
     ``distinct``: one column ``fp``, each value once. ``blocks - shared >= radius``, so by
     the pigeonhole principle a close pair agrees on ``shared`` whole blocks: rows are dealt
     by each choice of blocks and only compared within a key. A key with more than
     ``max_run`` fingerprints is split again by blocks of the bits that its key leaves
     open, twice at most: then at most 2^16 values (of the default setting) share a key.
-    Where a key holds many close pairs, links of a spanning forest stand for them, and each
-    fingerprint there is also linked to itself.
+    Where a key holds many close pairs, links of a spanning forest stand for them, marked
+    ``dense``; other pairs are met once a level, under the first key that they share.
     """
     if blocks - shared < radius:
         raise ValueError("blocks - shared must be at least the radius")
@@ -238,8 +248,9 @@ def links(distinct: DataFrame, radius: int = 3, blocks: int = 6, shared: int = 3
     combos = F.array(*[F.struct(F.lit(i).alias("combo"), F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long")).alias("key")) for i, m in enumerate(masks)])
     keyed = rows.select("fp", F.explode(combos).alias("k")).select("k.combo", "k.key", "fp")
     for level in range(3):
-        out = cut(_link_pass(keyed, radius, max_run if level < 2 else None), "simhash-links")
-        found.append(out.where("combo = -1").select("u", "v"))
+        first = np.array(masks, dtype=np.uint64) if level == 0 else None
+        out = cut(_link_pass(keyed, radius, max_run if level < 2 else None, first), "simhash-links")
+        found.append(out.where("combo < 0").select("u", "v", (F.col("combo") == -2).alias("dense")))
         heavy = out.where("combo >= 0")
         if level == 2 or heavy.isEmpty():
             break
@@ -272,7 +283,7 @@ def near_duplicates(
     """
     rows = cut(with_fingerprint(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), shingle_words=shingle_words), "simhash-docs")
     each = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
-    roots = cut(connected_components(links(each, radius, blocks, shared, max_run), "simhash-cc"), "simhash-roots")
+    roots = cut(connected_components(links(each, radius, blocks, shared, max_run).select("u", "v"), "simhash-cc"), "simhash-roots")
     known = each.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     linked = known.join(known.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("fp", "component_id")
     return rows.join(linked, "fp").select("doc_id", "fp", "component_id")

@@ -131,9 +131,9 @@ def similar_groups(
     for i in range(len(seeds)):
         here = links(firsts.where(F.col("seed") == i).select("fp"), radius, blocks, shared, max_run).withColumn("seed", F.lit(i))
         found = here if found is None else found.unionByName(here)
-    found = cut(found.distinct(), "similar-links")
+    found = cut(found.groupBy("seed", "u", "v").agg(F.max("dense").alias("dense")), "similar-links")
     at = lambda side, name: firsts.select("seed", F.col("fp").alias(side), F.col("digest").alias(name))
-    pairs = found.where("u <> v").join(at("u", "a"), ["seed", "u"]).join(at("v", "b"), ["seed", "v"]).select("a", "b")
+    pairs = found.join(at("u", "a"), ["seed", "u"]).join(at("v", "b"), ["seed", "v"]).select("a", "b")
     same = prints.join(firsts.where("n > 1").select("seed", "fp", F.col("digest").alias("a")), ["seed", "fp"]).where("a <> digest").select("a", F.col("digest").alias("b"))
     pairs = cut(pairs.unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "similar-pairs")
     if pairs.isEmpty():
@@ -152,7 +152,7 @@ def similar_groups(
     several = firsts.where("n > 1").select("seed", "fp")
     beside = found.join(several.withColumnRenamed("fp", "u"), ["seed", "u"], "left_semi").select("seed", F.col("v").alias("fp"))
     beside = beside.unionByName(found.join(several.withColumnRenamed("fp", "v"), ["seed", "v"], "left_semi").select("seed", F.col("u").alias("fp")))
-    dense = found.where("u = v").select("seed", F.col("u").alias("fp")).unionByName(several).unionByName(beside)
+    dense = found.where("dense").select("seed", F.explode(F.array("u", "v")).alias("fp")).unionByName(several).unionByName(beside)
     dense = cut(dense.distinct(), "similar-dense")
     if not dense.isEmpty():
         open_rows = cut(prints.join(dense, ["seed", "fp"], "left_semi").join(known.select("digest", "root"), "digest"), "similar-open")

@@ -89,5 +89,6 @@ def test_hash_is_sparks(spark):
 
 def test_forest_is_linear():
     x = np.arange(256, dtype=np.uint64)
-    links = simhash.forest(x, 3)
+    links, dense = simhash.forest(x, 3)
+    assert dense
     assert sum(len(a) for a, _ in links) == 255
