@@ -92,14 +92,18 @@ def _unlike_pairs(rows: DataFrame, radius: int, masks: list[int]) -> DataFrame:
     """All pairs ``a, b`` of different groups at most ``radius`` bits apart, of ``fp, digest, root``.
 
     A pair of different groups has a side outside its key's most frequent group, so only
-    those rows are compared with the rest: a key of one large group costs nothing.
+    those rows are compared with the rest: a key of one large group costs nothing. A pair
+    is only met under the first key that it shares.
     """
     keys = F.array(*[F.struct(F.lit(i).alias("combo"), F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long")).alias("key")) for i, m in enumerate(masks)])
     keyed = rows.withColumn("k", F.explode(keys)).select("seed", "k.combo", "k.key", "fp", "digest", "root")
     on = ["seed", "combo", "key"]
     usual = keyed.groupBy(*on).agg(F.mode("root", deterministic=True).alias("usual"), F.max("root").alias("hi"), F.min("root").alias("lo")).where("hi <> lo").select(*on, "usual")
     few = keyed.join(usual, on).where("root <> usual").select(*on, F.col("fp").alias("ofp"), F.col("digest").alias("o"), F.col("root").alias("oroot"))
-    near = few.join(keyed, on).where((F.col("root") != F.col("oroot")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("ofp"))) <= radius))
+    apart = F.col("fp").bitwiseXOR(F.col("ofp"))
+    before = F.slice(F.array(*[F.lit(_signed(m)).cast("long") for m in masks]), F.lit(1), F.col("combo"))
+    first = ~F.exists(before, lambda m: apart.bitwiseAND(m) == 0)
+    near = few.join(keyed, on).where((F.col("root") != F.col("oroot")) & (F.bit_count(apart) <= radius) & first)
     return near.select(F.least("digest", "o").alias("a"), F.greatest("digest", "o").alias("b")).distinct()
 
 
