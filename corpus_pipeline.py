@@ -25,9 +25,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the smallest doc_id, of each group of near copies; rows without an id stay.
 
-    Near copies: SimHash links between texts whose five-word shingles are alike by 0.8 or more.
+    Near copies: all texts whose sets of five-word shingles are alike by 0.8 or more (Jaccard).
     """
-    groups = similar.similar_groups(docs)
+    groups = similar.similar_groups(docs, every=True)
     first = groups.where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(first, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(*docs.columns)
 

@@ -208,7 +208,7 @@ def spans(text: str, model: Model) -> list[tuple[str, int, int, int]]:
     return sorted(base + more, key=lambda x: (x[1], order.get(x[0], len(BASE)), x[0]))
 
 
-def _smallest(docs: DataFrame, n: int) -> DataFrame:
+def smallest(docs: DataFrame, n: int) -> DataFrame:
     """The ``n`` rows with the smallest id hashes, and rows that share the last one's id."""
     h = docs.select(F.xxhash64("doc_id").alias("h"))
     last = h.orderBy("h").limit(n).agg(F.max("h")).first()[0]
@@ -240,7 +240,7 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: i
             rows = [(k, v) for k, values in sorted(found.items()) for v in sorted(values, key=lambda v: (hash_of(v), v))[:per_kind]]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(2)], names=["kind", "value"])
 
-    picked = _smallest(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), sample).select("text")
+    picked = smallest(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), sample).select("text")
     rows = picked.mapInArrow(run, "kind string, value string").distinct()
     ranked = rows.groupBy("kind").agg(F.slice(F.array_sort(F.collect_set(F.struct(F.xxhash64("value").alias("h"), "value"))), 1, per_kind).alias("v"))
     words = {r.kind: [x.value for x in r.v] for r in ranked.collect()}

@@ -1,7 +1,12 @@
-"""Near copies by SimHash links whose five-word similarity is then checked on the texts."""
+"""Near copies: texts whose sets of five-word shingles are alike, every pair of them.
+
+SimHash links, checked on the texts, join most of them at little cost; a prefix filter
+over the sets then brings every pair of unlike groups that can be alike.
+"""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,10 +15,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, partitions
 from .components import connected_components
+from .secrets import smallest
 from .simhash import BITS, _signed, block_masks, links, shingles, simhash_of, words_of
 
+#: Texts of which shingles are counted, and how many frequent ones are kept: they set an order, not what is found.
+COUNTED, FREQUENT = 5000, 1 << 16
+
 
 def shingle_set(words: list[bytes], k: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles of ``words``."""
@@ -31,20 +40,56 @@ def _digest(words: list[bytes]) -> str:
     return xxhash.xxh3_128_hexdigest(b" ".join(words))
 
 
-def _prints(docs: DataFrame, shingle_words: int, seeds: tuple[int, ...]) -> DataFrame:
-    """``doc_id, digest, fps``: a hash of the word sequence and a fingerprint for each seed."""
+def _frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that stand in several of at most ``COUNTED`` texts, sorted, and in how many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(words_of(raw.as_py()), k) for raw in b.column(0)]
+            h, n = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
+
+    seen = smallest(docs, COUNTED).select(F.col("text").cast("binary").alias("raw")).mapInArrow(run, "h long, n long")
+    top = seen.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
+    h, n = np.array([r.h for r in top], np.int64).view(np.uint64), np.array([r.n for r in top], np.int64)
+    by = np.argsort(h)
+    return h[by], n[by]
+
+
+def prefix(hashes: np.ndarray, similarity: float, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first members of a sorted set, rare ones first, in an order that all sets share.
+
+    So many that a set alike by ``similarity`` has one of them in its own prefix.
+    """
+    known, often = frequent
+    rank = np.zeros(len(hashes), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        rank = np.where(known[at] == hashes, often[at], 0)
+    n = len(hashes)
+    return hashes[np.lexsort((hashes, rank))][: n - math.ceil(n * similarity - 1e-9) + 1]
+
+
+def _prints(docs: DataFrame, shingle_words: int, seeds: tuple[int, ...], set_words: int, similarity: float, frequent: tuple[np.ndarray, np.ndarray] | None) -> DataFrame:
+    """``doc_id, digest, fps, n, prefix``: a hash of the word sequence, a fingerprint for each seed, and with ``frequent`` size and prefix of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            digests, fps = [], []
+            digests, fps, sizes, prefixes = [], [], [], []
             for raw in b.column(1):
                 words = words_of(raw.as_py())
                 parts = shingles(words, shingle_words)
                 digests.append(_digest(words))
                 fps.append([_signed(simhash_of(parts, s)) for s in seeds])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.string()), pa.array(fps, pa.list_(pa.int64()))], names=["doc_id", "digest", "fps"])
-
-    schema = docs.select("doc_id").withColumn("digest", F.lit("")).withColumn("fps", F.array(F.lit(0).cast("long"))).schema
+                hashes = shingle_set(words if frequent else [], set_words)
+                sizes.append(len(hashes))
+                prefixes.append(prefix(hashes, similarity, frequent).view(np.int64) if frequent else [])
+            longs = pa.list_(pa.int64())
+            arrays = [pa.array(digests, pa.string()), pa.array(fps, longs), pa.array(sizes, pa.int32()), pa.array(prefixes, longs)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *arrays], names=["doc_id", "digest", "fps", "n", "prefix"])
+
+    longs = F.array(F.lit(0).cast("long"))
+    schema = docs.select("doc_id").withColumn("digest", F.lit("")).withColumn("fps", longs).withColumn("n", F.lit(0)).withColumn("prefix", longs).schema
     return docs.select("doc_id", F.col("text").cast("binary").alias("raw")).mapInArrow(run, schema)
 
 
@@ -88,6 +133,77 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return full.mapInArrow(run, "a string, b string")
 
 
+def _meet(ids, roots, sizes, places, similarity: float):
+    """Pairs of rows of one key, of different roots, whose sizes and places in the order allow the similarity.
+
+    A pair's first common member has all common ones after it in both sets.
+    """
+    share = similarity / (1 + similarity)
+    by = np.argsort(sizes, kind="stable")
+    ids, roots, sizes, after = ids[by], roots[by], sizes[by], (sizes - places)[by]
+    ends = np.searchsorted(sizes, sizes / similarity + 1e-6, side="right")
+    for i in range(0, len(ids) - 1, 256):
+        part = slice(i, min(i + 256, len(ids)))
+        rest = slice(i + 1, int(ends[part].max()))
+        least = share * (sizes[part, None] + sizes[None, rest]) - 1e-6
+        ok = (roots[part, None] != roots[None, rest]) & (np.minimum(after[part, None], after[None, rest]) >= least)
+        a, b = np.nonzero(ok)
+        later = b >= a  # columns begin one row further on
+        yield ids[i + a[later]], ids[i + 1 + b[later]]
+
+
+def _set_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """All pairs ``u, v`` of ``id, root, n, prefix`` of different roots that may be alike: prefix filter."""
+    keyed = rows.select("id", "root", "n", F.posexplode("prefix").alias("place", "key"))
+
+    def pairs_of(k, ids, roots, sizes, places):
+        starts = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+        lens = np.diff(np.append(starts, len(k)))
+        mixed = np.minimum.reduceat(roots, starts) != np.maximum.reduceat(roots, starts)
+        for s, m in zip(starts[mixed], lens[mixed]):
+            at = slice(s, s + m)
+            yield from _meet(ids[at], roots[at], sizes[at], places[at], similarity)
+
+    def batch_of(found):
+        u, v = (np.concatenate(x) for x in zip(*found))
+        pair = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, found, count = [], [], 0
+
+        def ready(columns, most):
+            nonlocal found, count
+            for u, v in pairs_of(*columns):
+                found.append((u, v))
+                count += len(u)
+                if count > most:
+                    yield batch_of(found)
+                    found, count = [], 0
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            now = [b.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            if held and held[-1][0][-1] == now[0][-1]:
+                held.append(now)  # all of one key so far
+                if held[0][0][0] == now[0][-1]:
+                    continue
+                held.pop()
+            columns = [np.concatenate(x) for x in zip(*held, now)]
+            tail = int(np.searchsorted(columns[0], columns[0][-1]))
+            if tail:
+                yield from ready([c[:tail] for c in columns], 1 << 18)
+            held = [[c[tail:] for c in columns]]
+        if held:
+            yield from ready([np.concatenate(x) for x in zip(*held)], 1 << 18)
+        if count:
+            yield batch_of(found)
+
+    dealt = keyed.select("key", "id", "root", "n", "place").repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key")
+    return dealt.mapInArrow(run, "u long, v long").distinct()
+
+
 def _unlike_pairs(rows: DataFrame, radius: int, masks: list[int]) -> DataFrame:
     """All pairs ``a, b`` of different groups at most ``radius`` bits apart, of ``fp, digest, root``.
 
@@ -109,26 +225,29 @@ def _unlike_pairs(rows: DataFrame, radius: int, masks: list[int]) -> DataFrame:
 
 def similar_groups(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, set_words: int = 5,
-    shingle_words: int = 2, seeds: tuple[int, ...] = (42, 43, 44, 45), radius: int = 5, blocks: int = 7, shared: int = 2, max_run: int = 4096,
+    shingle_words: int = 2, seeds: tuple[int, ...] = (42, 43, 44, 45), radius: int = 5, blocks: int = 7, shared: int = 2, max_run: int = 4096, every: bool = False,
 ) -> DataFrame:
     """Groups of near copies: ``doc_id, component_id``, a row for each row with a doc_id.
 
     Texts with one sequence of words (ASCII white space, A-Z lower-cased) are one class.
-    Classes are candidates when the SimHashes of one of ``seeds``, over ``shingle_words``
-    words, differ in at most ``radius`` bits (pigeonhole blocks); they link when the sets of
-    their ``set_words``-word shingles are alike by ``similarity`` or more (Jaccard). ``component_id``
-    is the smallest doc_id reachable over links, the row's own included. Short fingerprint
-    shingles, as an edit changes fewer of them, so that texts alike by 0.8 are mostly in reach.
-
-    Every candidate pair is checked, but for pairs that links already connect: where a
-    key holds many candidates, a forest of them is checked first, then all pairs of unlike groups.
+    Classes link when the sets of their ``set_words``-word shingles are alike by
+    ``similarity`` or more (Jaccard, on whole texts). ``component_id`` is the smallest doc_id
+    reachable over links, the row's own included.
+
+    First, pairs are checked whose SimHashes of one of ``seeds``, over ``shingle_words`` words,
+    differ in at most ``radius`` bits (pigeonhole blocks). With ``every``, all other pairs that
+    can be alike follow, between the groups so formed: each set is held under its rarest
+    members, as many as no like set can lack all of (prefix filter), so no pair is missed,
+    whatever the edit. Without it only pairs within the radius count, and texts alike by
+    ``similarity`` may stay apart; of those, every pair is checked but for pairs that links
+    already connect: where a key holds many, a forest first, then all pairs of unlike groups.
 
     Null, empty and wordless texts are one class. Rows without a doc_id are left out; rows that
     share one each count by their text. Other columns play no part. An empty table gives an empty result.
     """
     given = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
-    rows = cut(_prints(given, shingle_words, seeds), "similar-docs")
-    classes = cut(rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.first("fps").alias("fps")), "similar-classes")
+    rows = cut(_prints(given, shingle_words, seeds, set_words, similarity, _frequent(given, set_words) if every else None), "similar-docs")
+    classes = cut(rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("fps", "n", "prefix")]), "similar-classes")
     prints = classes.select("digest", F.posexplode("fps").alias("seed", "fp"))
     firsts = cut(prints.groupBy("seed", "fp").agg(F.min("digest").alias("digest"), F.count(F.lit(1)).alias("n")), "similar-prints")
     found = None
@@ -140,8 +259,6 @@ def similar_groups(
     pairs = found.join(at("u", "a"), ["seed", "u"]).join(at("v", "b"), ["seed", "v"]).select("a", "b")
     same = prints.join(firsts.where("n > 1").select("seed", "fp", F.col("digest").alias("a")), ["seed", "fp"]).where("a <> digest").select("a", F.col("digest").alias("b"))
     pairs = cut(pairs.unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "similar-pairs")
-    if pairs.isEmpty():
-        return rows.join(classes.select("digest", F.col("first_id").alias("component_id")), "digest").select("doc_id", "component_id")
 
     def sets_of(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct().join(classes, "digest").select(F.col("first_id").alias("doc_id")).distinct()
@@ -153,17 +270,25 @@ def similar_groups(
 
     edges = cut(_alike(pairs, sets_of(pairs), similarity), "similar-edges")
     known = rooted(edges)
-    several = firsts.where("n > 1").select("seed", "fp")
-    beside = found.join(several.withColumnRenamed("fp", "u"), ["seed", "u"], "left_semi").select("seed", F.col("v").alias("fp"))
-    beside = beside.unionByName(found.join(several.withColumnRenamed("fp", "v"), ["seed", "v"], "left_semi").select("seed", F.col("u").alias("fp")))
-    dense = found.where("dense").select("seed", F.explode(F.array("u", "v")).alias("fp")).unionByName(several).unionByName(beside)
-    dense = cut(dense.distinct(), "similar-dense")
-    if not dense.isEmpty():
-        open_rows = cut(prints.join(dense, ["seed", "fp"], "left_semi").join(known.select("digest", "root"), "digest"), "similar-open")
-        more = _unlike_pairs(open_rows, radius, block_masks(list(range(BITS)), blocks, shared)).join(pairs, ["a", "b"], "left_anti")
-        more = cut(more, "similar-more")
+    if every:
+        ids = cut(known.select("digest", F.xxhash64("digest").alias("id"), F.xxhash64("root").alias("root"), "n", "prefix"), "similar-open")
+        name = lambda side, c: ids.select(F.col("id").alias(side), F.col("digest").alias(c))
+        more = cut(_set_pairs(ids.drop("digest"), similarity), "similar-more")
+        more = cut(more.join(name("u", "a"), "u").join(name("v", "b"), "v").select("a", "b"), "similar-more")
         if not more.isEmpty():
             known = rooted(edges.unionByName(cut(_alike(more, sets_of(more), similarity), "similar-edges")))
+    else:
+        several = firsts.where("n > 1").select("seed", "fp")
+        beside = found.join(several.withColumnRenamed("fp", "u"), ["seed", "u"], "left_semi").select("seed", F.col("v").alias("fp"))
+        beside = beside.unionByName(found.join(several.withColumnRenamed("fp", "v"), ["seed", "v"], "left_semi").select("seed", F.col("u").alias("fp")))
+        dense = found.where("dense").select("seed", F.explode(F.array("u", "v")).alias("fp")).unionByName(several).unionByName(beside)
+        dense = cut(dense.distinct(), "similar-dense")
+        if not dense.isEmpty():
+            open_rows = cut(prints.join(dense, ["seed", "fp"], "left_semi").join(known.select("digest", "root"), "digest"), "similar-open")
+            more = _unlike_pairs(open_rows, radius, block_masks(list(range(BITS)), blocks, shared)).join(pairs, ["a", "b"], "left_anti")
+            more = cut(more, "similar-more")
+            if not more.isEmpty():
+                known = rooted(edges.unionByName(cut(_alike(more, sets_of(more), similarity), "similar-edges")))
     named = known.groupBy("root").agg(F.min("first_id").alias("component_id"))
     ids = known.select("digest", "root").join(named, "root").select("digest", "component_id")
     return rows.join(ids, "digest").select("doc_id", "component_id")

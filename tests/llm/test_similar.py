@@ -105,3 +105,20 @@ def test_ids_and_edges(spark):
     assert found == [(3, 3), (3, 3), (5, 3)]
     assert similar.similar_groups(df).columns == ["doc_id", "component_id"]
     assert similar.similar_groups(df.limit(0)).count() == 0
+
+
+def test_every_kind_of_edit_is_found(spark):
+    # pairs alike by 0.8 to 0.85: a block replaced, an end added, an end cut off; few are near in SimHash
+    rnd = random.Random(11)
+    rows, want = [], {}
+    for i in range(60):
+        n = rnd.randrange(60, 400)
+        w = base(rnd, n)
+        m = n // 12
+        at = rnd.randrange(n - m)
+        other = [w[:at] + base(rnd, m) + w[at + m :], w + base(rnd, n // 5), w[: n - n // 6]][i % 3]
+        a, b = set(parts(w, 5)), set(parts(other, 5))
+        rows += [(2 * i, " ".join(w), "", ""), (2 * i + 1, " ".join(other), "", "")]
+        want |= {2 * i: 2 * i, 2 * i + 1: 2 * i if len(a & b) >= 0.8 * len(a | b) else 2 * i + 1}
+    assert sum(i != j for i, j in want.items()) >= 45
+    assert got(spark, rows, every=True) == want
