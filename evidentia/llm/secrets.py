@@ -25,6 +25,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: What the automata judge: whole runs of the characters that credentials are made of.
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}")
+#: Characters of a string that the automata learn from; candidates are scored whole.
 LONGEST = 256
 
 #: Symbols of the automata: characters by class.
@@ -57,6 +58,26 @@ def format_examples(n: int = 150, seed: int = 7) -> list[tuple[str, str]]:
     return [(rnd.choice(prefixes) + "".join(rnd.choices(letters, k=rnd.choice(lengths))), kind) for kind, (prefixes, letters, lengths) in FORMATS.items() for _ in range(n)]
 
 
+#: Natural logarithm of how many characters a symbol stands for.
+SPREAD = {s: math.log(sum(x == s for x in CLASSES.values())) for s in ALPHABET}
+
+#: What a character of a filler must be likelier by: any long string is likeliest under its own counts.
+HANDICAP = 0.5
+
+
+def repetition(value: str) -> float:
+    """Natural logarithm of the likelihood of characters that are drawn as often as they stood before.
+
+    High where few characters return again and again, as in rulers and fillers, which symbols do not show.
+    """
+    seen: dict[str, int] = defaultdict(int)
+    total = 0.0
+    for i, c in enumerate(value):
+        total += math.log((seen[c] + 1 / len(CLASSES)) / (i + 1))
+        seen[c] += 1
+    return total
+
+
 def symbols(value: str) -> str:
     return "".join(map(CLASSES.__getitem__, value))
 
@@ -85,6 +106,7 @@ class _Tree:
     """A prefix tree of symbol strings with counts, folded as states merge.
 
     ``step[q][s]`` is ``[state, times taken]``; ``count[q]`` is how often a string is at ``q``.
+    Of a string over ``LONGEST`` symbols only the first ones count, and it ends nowhere.
     """
 
     def __init__(self, words: list[str]):
@@ -93,7 +115,7 @@ class _Tree:
         for w in words:
             at = 0
             self.count[0] += 1
-            for s in w:
+            for s in w[:LONGEST]:
                 if s not in self.step[at]:
                     self.step[at][s] = [len(self.count), 0]
                     self.count.append(0)
@@ -102,7 +124,7 @@ class _Tree:
                 self.step[at][s][1] += 1
                 at = self.step[at][s][0]
                 self.count[at] += 1
-            self.final[at] += 1
+            self.final[at] += len(w) <= LONGEST
 
     def compatible(self, a: int, b: int, bound: float) -> bool:
         todo, zero = [(a, b)], [None, 0]
@@ -171,11 +193,12 @@ class Model:
 
     def kind_of(self, value: str) -> str | None:
         """The kind under which a candidate is likeliest, if likely enough to be a credential."""
-        if not self.kinds or len(value) > LONGEST or not any(c in DIGIT for c in value):
+        if not self.kinds:
             return None
         word = symbols(value)
         score, kind = max((a.log_likelihood(word), k) for k, a in self.kinds.items())
         plain = self.ordinary.log_likelihood(word) if self.ordinary else -len(word) * math.log(len(ALPHABET))
+        plain = max(plain, repetition(value) - HANDICAP * len(value) + sum(map(SPREAD.__getitem__, word)))
         return kind if score - plain >= self.margin else None
 
 
@@ -220,7 +243,7 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: i
 
     Labelled credentials are the values that base patterns match there (by kind: whole-hex
     values count as hex) and ``extra`` (value, kind), by default examples of public formats;
-    ``per_kind`` of each are used. Candidates that no pattern matches train the automaton
+    ``per_kind`` of each are used, of long ones the first ``LONGEST`` characters. Candidates that no pattern matches train the automaton
     of ordinary tokens. Whatever the table, at most ``sample`` texts are read for this and
     ``per_kind`` strings a kind reach the driver.
     """
@@ -232,11 +255,10 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: i
                 t = t.as_py() or ""
                 base = base_spans(t)
                 for kind, _, end, value in base:
-                    if end - value <= LONGEST:
-                        found["hex" if HEX.fullmatch(t, value, end) else kind].add(t[value:end])
+                    found["hex" if HEX.fullmatch(t, value, end) else kind].add(t[value : min(end, value + LONGEST + 1)])
                 for m in CANDIDATE.finditer(t):
-                    if len(m[0]) <= LONGEST and not any(a < m.end() and m.start() < e for _, a, e, _ in base):
-                        found["ordinary"].add(m[0])
+                    if not any(a < m.end() and m.start() < e for _, a, e, _ in base):
+                        found["ordinary"].add(m[0][: LONGEST + 1])
             rows = [(k, v) for k, values in sorted(found.items()) for v in sorted(values, key=lambda v: (hash_of(v), v))[:per_kind]]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(2)], names=["kind", "value"])
 

@@ -73,3 +73,27 @@ def test_query(spark, tmp_path):
     assert (got[1].n_assign, got[1].n_access, got[1].n_hex) == (1, 0, 1)
     assert got[1].base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in plain(f'x token = "{HEX40}"')).encode()).hexdigest()
     assert got[2].base_sha256 == hashlib.sha256(b"").hexdigest() and got[2].spans == ""
+
+
+def test_long_and_digit_free_secrets(spark):
+    rnd = random.Random(6)
+    letters = secrets.UPPER + secrets.LOWER
+    draw = lambda pool, n: "".join(rnd.choices(pool, k=n))
+    key = [draw(letters + secrets.DIGIT + "+/", 300), "ghp_" + draw(letters, 36), draw(letters, 40), draw(letters + secrets.DIGIT, 5000)]
+    plain = ["www." + draw("thereandoution", rnd.randrange(12, 30)) + ".com/" + draw("thereandoution", 8) for _ in range(300)]
+    rows = [(i, f"see {w} there") for i, w in enumerate(plain)] + [(1000 + i, f"x {k} y") for i, k in enumerate(key)]
+    rows += [(2000, "a" * 5000), (2001, "-" * 300), (2002, "thereandoution" * 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = secrets.learn(df)
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind.startswith("format-")] for r in secrets.scan(df, model).collect()}
+    assert [got[1000 + i] for i in range(len(key))] == [[(2, 2 + len(k))] for k in key]
+    assert sum(map(bool, (got[i] for i in range(300)))) <= 3 and not got[2000] and not got[2001] and not got[2002]
+    clean = {r.doc_id: r.text for r in secrets.redact(df, model).collect()}
+    assert all(clean[1000 + i] == "x [SECRET] y" for i in range(len(key)))
+
+
+def test_learns_from_the_start_of_long_strings():
+    words = [secrets.symbols("ab1" * 200)] * 30
+    found = secrets.infer(words)
+    assert len(found.ends) <= secrets.LONGEST + 1
+    assert found.log_likelihood(words[0][:30]) > secrets.infer([secrets.symbols("zz")] * 30).log_likelihood(words[0][:30])
