@@ -22,6 +22,8 @@ from .simhash import BITS, _signed, block_masks, links, shingles, simhash_of, wo
 
 #: Texts of which shingles are counted, and how many frequent ones are kept: they set an order, not what is found.
 COUNTED, FREQUENT = 5000, 1 << 16
+#: Meetings of pairs that a task counts at once.
+MET = 1 << 18
 
 
 def shingle_set(words: list[bytes], k: int) -> np.ndarray:
@@ -134,9 +136,11 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def _meet(ids, roots, sizes, places, similarity: float):
-    """Pairs of rows of one key, of different roots, whose sizes and places in the order allow the similarity.
+    """Pairs of rows of one key, of different roots and like sizes: ids, whether it can be their first common member, least count.
 
-    A pair's first common member has all common ones after it in both sets.
+    A pair's first common member has all common ones after it in both sets. All but the
+    last ``ceil(n * similarity) - 1`` members of a set are in its prefix, so a like pair
+    meets under at least as many keys as the common members that it takes exceed these.
     """
     share = similarity / (1 + similarity)
     by = np.argsort(sizes, kind="stable")
@@ -145,11 +149,13 @@ def _meet(ids, roots, sizes, places, similarity: float):
     for i in range(0, len(ids) - 1, 256):
         part = slice(i, min(i + 256, len(ids)))
         rest = slice(i + 1, int(ends[part].max()))
-        least = share * (sizes[part, None] + sizes[None, rest]) - 1e-6
-        ok = (roots[part, None] != roots[None, rest]) & (np.minimum(after[part, None], after[None, rest]) >= least)
-        a, b = np.nonzero(ok)
+        a, b = np.nonzero((roots[part, None] != roots[None, rest]) & (sizes[None, rest] <= sizes[part, None] / similarity + 1e-6))
         later = b >= a  # columns begin one row further on
-        yield ids[i + a[later]], ids[i + 1 + b[later]]
+        a, b = i + a[later], i + 1 + b[later]
+        least = np.ceil(share * (sizes[a] + sizes[b]) - 1e-6).astype(np.int64)
+        first = np.minimum(after[a], after[b]) >= least
+        need = least - np.ceil(np.maximum(sizes[a], sizes[b]) * similarity - 1e-9).astype(np.int64) + 1
+        yield ids[a], ids[b], first, need
 
 
 def _set_pairs(rows: DataFrame, similarity: float) -> DataFrame:
@@ -165,43 +171,47 @@ def _set_pairs(rows: DataFrame, similarity: float) -> DataFrame:
             yield from _meet(ids[at], roots[at], sizes[at], places[at], similarity)
 
     def batch_of(found):
-        u, v = (np.concatenate(x) for x in zip(*found))
-        pair = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["u", "v"])
+        u, v, first, need = (np.concatenate(x) for x in zip(*found))
+        u, v = np.minimum(u, v), np.maximum(u, v)
+        by = np.lexsort((v, u))
+        u, v, first, need = u[by], v[by], first[by], need[by]
+        starts = np.flatnonzero(np.append(True, (u[1:] != u[:-1]) | (v[1:] != v[:-1])))
+        met = np.diff(np.append(starts, len(u)))
+        arrays = [u[starts], v[starts], met.astype(np.int64), np.logical_or.reduceat(first, starts), need[starts]]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["u", "v", "met", "first", "need"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, found, count = [], [], 0
-
-        def ready(columns, most):
-            nonlocal found, count
-            for u, v in pairs_of(*columns):
-                found.append((u, v))
-                count += len(u)
-                if count > most:
-                    yield batch_of(found)
-                    found, count = [], 0
-
         for b in batches:
             if not b.num_rows:
                 continue
             now = [b.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
-            if held and held[-1][0][-1] == now[0][-1]:
-                held.append(now)  # all of one key so far
-                if held[0][0][0] == now[0][-1]:
-                    continue
-                held.pop()
-            columns = [np.concatenate(x) for x in zip(*held, now)]
+            held.append(now)
+            if held[0][0][0] == now[0][-1]:
+                continue  # all of one key so far
+            columns = [np.concatenate(x) for x in zip(*held)]
             tail = int(np.searchsorted(columns[0], columns[0][-1]))
-            if tail:
-                yield from ready([c[:tail] for c in columns], 1 << 18)
             held = [[c[tail:] for c in columns]]
+            for pairs in pairs_of(*(c[:tail] for c in columns)):
+                found.append(pairs)
+                count += len(pairs[0])
+                if count > MET:
+                    yield batch_of(found)
+                    found, count = [], 0
         if held:
-            yield from ready([np.concatenate(x) for x in zip(*held)], 1 << 18)
+            for pairs in pairs_of(*(np.concatenate(x) for x in zip(*held))):
+                found.append(pairs)
+                count += len(pairs[0])
+                if count > MET:
+                    yield batch_of(found)
+                    found, count = [], 0
         if count:
             yield batch_of(found)
 
     dealt = keyed.select("key", "id", "root", "n", "place").repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, "u long, v long").distinct()
+    met = dealt.mapInArrow(run, "u long, v long, met long, first boolean, need long")
+    each = met.groupBy("u", "v").agg(F.sum("met").alias("met"), F.max("first").alias("first"), F.max("need").alias("need"))
+    return each.where("first and met >= need").select("u", "v")
 
 
 def _unlike_pairs(rows: DataFrame, radius: int, masks: list[int]) -> DataFrame:
@@ -271,9 +281,9 @@ def similar_groups(
     edges = cut(_alike(pairs, sets_of(pairs), similarity), "similar-edges")
     known = rooted(edges)
     if every:
-        ids = cut(known.select("digest", F.xxhash64("digest").alias("id"), F.xxhash64("root").alias("root"), "n", "prefix"), "similar-open")
-        name = lambda side, c: ids.select(F.col("id").alias(side), F.col("digest").alias(c))
-        more = cut(_set_pairs(ids.drop("digest"), similarity), "similar-more")
+        ids = known.select(F.xxhash64("digest").alias("id"), F.xxhash64("root").alias("root"), "n", "prefix")
+        name = lambda side, c: classes.select(F.xxhash64("digest").alias(side), F.col("digest").alias(c))
+        more = cut(_set_pairs(ids, similarity), "similar-met")
         more = cut(more.join(name("u", "a"), "u").join(name("v", "b"), "v").select("a", "b"), "similar-more")
         if not more.isEmpty():
             known = rooted(edges.unionByName(cut(_alike(more, sets_of(more), similarity), "similar-edges")))
