@@ -48,7 +48,7 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, and how near these are."""
-    found = spotsigs.edited_pairs(table(spark, sf_dir, "documents"))
+    found = spotsigs.edited_pairs(table(spark, sf_dir, "documents"), whole=True)
     prints = [spotsigs.as_text(F.col(c)).alias(c) for c in ("fingerprint", "edited_fingerprint")]
     return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *prints, "near_edited", "near_next")
 

@@ -35,13 +35,13 @@ def _alternatives(words: set[str]) -> str:
     return "|".join(f"{a}(?:{'|'.join(rest)})" for a, rest in sorted(by.items()))
 
 
-def signatures(text: Column, chain: int = CHAIN, anchors: dict[str, str] = ANCHORS) -> Column:
+def signatures(text: Column, chain: int = CHAIN, anchors: dict[str, str] = ANCHORS, whole: bool = False) -> Column:
     """The text's fingerprint set: sorted distinct 32-bit hashes of its chains.
 
     Letters and digits make words, lower-cased. Wherever common words (or the start of the
     text) are followed by content words, the next ``chain`` of these, common words between
     them left out, are a chain; at the text's end it may be shorter. A text with words but no
-    chain has the hash of all its words; one without words (or null) has the empty set.
+    chain, or with ``whole`` one without a common word, has the hash of all its words; one without words (or null) has the empty set.
     """
     words = set(" ".join(anchors.values()).split())
     common = f" (?:{_alternatives(words)})(?= )"
@@ -55,8 +55,9 @@ def signatures(text: Column, chain: int = CHAIN, anchors: dict[str, str] = ANCHO
         return F.array_sort(F.array_distinct(F.transform(found, lambda c: F.hash(F.translate(c, _MARK, "")))))
 
     def or_whole(hashed: Column, plain: Column) -> Column:
-        whole = F.when(F.trim(plain) == "", F.array().cast("array<int>")).otherwise(F.array(F.hash(plain)))
-        return F.when(F.size(hashed) > 0, hashed).otherwise(whole)
+        every = F.when(F.trim(plain) == "", F.array().cast("array<int>")).otherwise(F.array(F.hash(plain)))
+        chained = F.size(hashed) > 0
+        return F.when(chained & F.rlike(plain, F.lit(common)) if whole else chained, hashed).otherwise(every)
 
     spaced = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
     return _let(F.regexp_replace(spaced, " {2,}", " "), lambda plain: _let(chains(plain), lambda hashed: or_whole(hashed, plain)))
@@ -120,7 +121,7 @@ def _below(bounds: Column, key: Column, n: int) -> Column:
     return F.aggregate(steps, F.lit(0), lambda at, s: F.when((at + s <= n) & (F.coalesce(F.get(bounds, at + s - 1), F.lit((1 << 63) - 1)) < key), at + s).otherwise(at))
 
 
-def edited_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket: int = BUCKET) -> DataFrame:
+def edited_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket: int = BUCKET, whole: bool = False) -> DataFrame:
     """Fingerprints of every document and of its edited text, held against each other.
 
     The edited text has, for the last quarter of its code points (rounded down), as many from
@@ -133,17 +134,17 @@ def edited_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bu
     empty result.
     """
     rows, order = in_order(docs, doc_id, text, bucket)
-    rows = rows.withColumn("next_text", F.lead("text").over(order)).withColumn("fingerprint", signatures(F.col("text")))
+    rows = rows.withColumn("next_text", F.lead("text").over(order)).withColumn("fingerprint", signatures(F.col("text"), whole=whole))
     rows = rows.withColumn("next_fingerprint", F.lead("fingerprint").over(order)).where("turn = 0")
     n = F.length("text")
     swapped = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - swapped), F.substring(F.col("next_text"), F.lit(1), swapped))
     rows = rows.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "fingerprint", "next_fingerprint")
-    rows = rows.withColumn("edited_fingerprint", signatures(F.col("edited")))
+    rows = rows.withColumn("edited_fingerprint", signatures(F.col("edited"), whole=whole))
     return rows.select("doc_id", "n_chars", "edited", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
 
 
-def similar_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = 0.8) -> tuple[DataFrame, DataFrame]:
+def similar_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = 0.8, whole: bool = False) -> tuple[DataFrame, DataFrame]:
     """Membership ``doc_id, class_id`` and links ``a, b, likeness`` between classes.
 
     A class is the documents with one fingerprint, named by its smallest doc_id (null ids
@@ -153,7 +154,7 @@ def similar_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Within these an index holds each set under the rarest signatures that it cannot miss
     in a match, and what meets there is compared. Texts without words link to nothing.
     """
-    prints = docs.select(F.col(doc_id).cast("long").alias("doc_id"), signatures(F.col(text)).alias("sigs"))
+    prints = docs.select(F.col(doc_id).cast("long").alias("doc_id"), signatures(F.col(text), whole=whole).alias("sigs"))
     prints = cut(prints.withColumn("print_id", F.xxhash64("sigs")), "spotsigs-prints")
     named = prints.groupBy("print_id", "sigs").agg(F.min("doc_id").alias("class_id"))
     named = cut(named.where("class_id is not null"), "spotsigs-classes")

@@ -4,7 +4,7 @@ from itertools import combinations
 
 import pytest
 
-from evidentia.llm import spotsigs
+from evidentia.llm import queries, spotsigs
 from pyspark.sql import functions as F
 
 STOP = set(" ".join(spotsigs.ANCHORS.values()).split())
@@ -77,3 +77,15 @@ def test_similar_classes(spark):
     want = {(a, b) for a, b in combinations(sorted(set(name.values())), 2) if sets[a] and sets[b] and likeness(sets[a], sets[b]) >= 0.6}
     assert len(want) > 5
     assert {(r.a, r.b) for r in links.collect()} == want
+
+
+def test_text_without_common_words_counts_whole(spark, tmp_path):
+    rows = [(1, "alpha beta gamma " + "delta " * 20), (2, "alpha beta gamma " + "omega " * 20), (3, "alpha beta the gamma"), (4, "the of"), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.s for r in df.select("doc_id", spotsigs.signatures(F.col("text"), whole=True).alias("s")).collect()}
+    assert [len(got[i]) for i in range(1, 6)] == [1, 1, 2, 1, 0] and got[1] != got[2]
+    members, _ = spotsigs.similar_classes(df.where("doc_id < 3"), whole=True)
+    assert {r.doc_id: r.class_id for r in members.collect()} == {1: 1, 2: 2}
+    df.where("doc_id < 3").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r for r in queries.op5_spotsigs(spark, str(tmp_path)).collect()}
+    assert found[1].fingerprint != found[2].fingerprint and found[1].near_next == 0.0
