@@ -1,7 +1,9 @@
 """Near copies: texts whose sets of five-word shingles are alike, every pair of them.
 
-SimHash links, checked on the texts, join most of them at little cost; a prefix filter
-over the sets then brings every pair of unlike groups that can be alike.
+A filter over the sets leaves the texts that can be like another at all. SimHash links among
+these, checked on the texts, form groups; a prefix filter in the order of exact frequencies
+then finds where texts of unlike groups can still be alike, and these are compared in blocks
+out of which only the links of a forest come.
 """
 
 from __future__ import annotations
@@ -12,18 +14,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import cut, partitions
 from .components import connected_components
-from .secrets import smallest
-from .simhash import BITS, _signed, block_masks, links, shingles, simhash_of, words_of
+from .simhash import MAX_RUN, _signed, links, shingles, simhash_of, words_of
 
-#: Texts of which shingles are counted, and how many frequent ones are kept: they set an order, not what is found.
-COUNTED, FREQUENT = 5000, 1 << 16
-#: Meetings of pairs that a task counts at once.
-MET = 1 << 18
+#: Members of sets, both sides together, that a task compares at once; larger blocks are cut up.
+BLOCK = 1 << 21
+#: Up to here the frequency of a shingle is counted exactly; all more frequent ones are ordered alike.
+OFTEN = 1024
 
 
 def shingle_set(words: list[bytes], k: int) -> np.ndarray:
@@ -42,263 +44,313 @@ def _digest(words: list[bytes]) -> str:
     return xxhash.xxh3_128_hexdigest(b" ".join(words))
 
 
-def _frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that stand in several of at most ``COUNTED`` texts, sorted, and in how many."""
+def spare(n: int, similarity: float) -> int:
+    """How many of its ``n`` members a set can have that a like set lacks."""
+    return n - math.ceil(n * similarity - 1e-9)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingle_set(words_of(raw.as_py()), k) for raw in b.column(0)]
-            h, n = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
-
-    seen = smallest(docs, COUNTED).select(F.col("text").cast("binary").alias("raw")).mapInArrow(run, "h long, n long")
-    top = seen.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
-    h, n = np.array([r.h for r in top], np.int64).view(np.uint64), np.array([r.n for r in top], np.int64)
-    by = np.argsort(h)
-    return h[by], n[by]
 
+def needed(n: int, similarity: float) -> int:
+    """How many of the first ``spare + needed`` members of a set (in any order that all share) a like set has.
 
-def prefix(hashes: np.ndarray, similarity: float, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The first members of a sorted set, rare ones first, in an order that all sets share.
-
-    So many that a set alike by ``similarity`` has one of them in its own prefix.
+    The first ``needed`` common members stand among these in both sets.
     """
-    known, often = frequent
-    rank = np.zeros(len(hashes), np.int64)
-    if len(known):
-        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-        rank = np.where(known[at] == hashes, often[at], 0)
-    n = len(hashes)
-    return hashes[np.lexsort((hashes, rank))][: n - math.ceil(n * similarity - 1e-9) + 1]
+    return max(1, spare(n, similarity) // 2)
 
 
-def _prints(docs: DataFrame, shingle_words: int, seeds: tuple[int, ...], set_words: int, similarity: float, frequent: tuple[np.ndarray, np.ndarray] | None) -> DataFrame:
-    """``doc_id, digest, fps, n, prefix``: a hash of the word sequence, a fingerprint for each seed, and with ``frequent`` size and prefix of the set."""
+def _prints(docs: DataFrame, shingle_words: int, seed: int, set_words: int, similarity: float) -> DataFrame:
+    """``doc_id, digest, fp, n, prefix``: a hash of the word sequence, the SimHash, the set's size and its smallest members."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             digests, fps, sizes, prefixes = [], [], [], []
             for raw in b.column(1):
                 words = words_of(raw.as_py())
-                parts = shingles(words, shingle_words)
                 digests.append(_digest(words))
-                fps.append([_signed(simhash_of(parts, s)) for s in seeds])
-                hashes = shingle_set(words if frequent else [], set_words)
-                sizes.append(len(hashes))
-                prefixes.append(prefix(hashes, similarity, frequent).view(np.int64) if frequent else [])
-            longs = pa.list_(pa.int64())
-            arrays = [pa.array(digests, pa.string()), pa.array(fps, longs), pa.array(sizes, pa.int32()), pa.array(prefixes, longs)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *arrays], names=["doc_id", "digest", "fps", "n", "prefix"])
+                fps.append(_signed(simhash_of(shingles(words, shingle_words), seed)))
+                hashes = shingle_set(words, set_words)
+                n = len(hashes)
+                sizes.append(n)
+                prefixes.append(hashes[: spare(n, similarity) + needed(n, similarity)].view(np.int64))
+            arrays = [pa.array(digests, pa.string()), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *arrays], names=["doc_id", "digest", "fp", "n", "prefix"])
 
-    longs = F.array(F.lit(0).cast("long"))
-    schema = docs.select("doc_id").withColumn("digest", F.lit("")).withColumn("fps", longs).withColumn("n", F.lit(0)).withColumn("prefix", longs).schema
-    return docs.select("doc_id", F.col("text").cast("binary").alias("raw")).mapInArrow(run, schema)
+    out = docs.select("doc_id").withColumns({"digest": F.lit(""), "fp": F.lit(0).cast("long"), "n": F.lit(0), "prefix": F.array(F.lit(0).cast("long"))}).schema
+    return docs.select("doc_id", F.col("text").cast("binary").alias("raw")).mapInArrow(run, out)
 
 
-def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """``digest, n, hashes`` of texts: their shingle sets as bytes."""
+def _shared(members: DataFrame) -> DataFrame:
+    """``id, times`` of rows ``key, id``: how often a key of the id is another id's, too, summed up later.
+
+    Keys stream past in order; of a key only the last row is held.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(ids):
+            names, times = np.unique(ids, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(names), pa.array(times.astype(np.int64))], names=["id", "times"])
+
+        keys, ids, met = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
         for b in batches:
-            digests, sets = [], []
-            for raw in b.column(0):
-                words = words_of(raw.as_py())
-                digests.append(_digest(words))
-                sets.append(shingle_set(words, k))
-            arrays = [pa.array(digests, pa.string()), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["digest", "n", "hashes"])
+            if not b.num_rows:
+                continue
+            keys, ids = (np.concatenate([x, b.column(i).to_numpy(zero_copy_only=False)]) for i, x in enumerate((keys, ids)))
+            met = np.append(met, np.zeros(len(ids) - len(met), bool))
+            other = (keys[1:] == keys[:-1]) & (ids[1:] != ids[:-1])
+            met[1:] |= other
+            met[:-1] |= other
+            yield out(ids[:-1][met[:-1]])
+            keys, ids, met = keys[-1:], ids[-1:], met[-1:]
+        yield out(ids[met])
 
-    return docs.select(F.col("text").cast("binary").alias("raw")).mapInArrow(run, "digest string, n long, hashes binary")
+    dealt = members.select("key", "id").repartition(partitions(members.sparkSession), "key").sortWithinPartitions("key", "id")
+    return dealt.mapInArrow(run, "id long, times long")
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The rows ``a, b`` of ``pairs`` whose sets are alike by ``similarity`` or more.
+def _often(members: DataFrame, often: int = OFTEN) -> DataFrame:
+    """``id, key, often`` of the rows ``key, id`` whose key several rows have: how many, ``often`` at most.
 
-    Set sizes are joined first, and only pairs whose sizes allow the similarity fetch sets.
+    At most ``often`` rows of a key are held until that is known.
     """
-    sizes = sets.select("digest", "n")
-    possible = (
-        pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
-        .where(F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb")).select("a", "b")
-    )
-    hashes = sets.select("digest", "hashes")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(ids, keys, n):
+            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys), pa.array(n.astype(np.int32))], names=["id", "key", "often"])
+
+        keys, ids, full = np.empty(0, np.int64), np.empty(0, np.int64), None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            k, i = (b.column(x).to_numpy(zero_copy_only=False) for x in range(2))
+            if full is not None:  # the key is known to be frequent
+                same = int(np.searchsorted(k, full, side="right"))
+                if same:
+                    yield out(i[:same], k[:same], np.full(same, often))
+                if same == len(k):
+                    continue
+                k, i, full = k[same:], i[same:], None
+            keys, ids = np.concatenate([keys, k]), np.concatenate([ids, i])
+            starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            n = np.diff(np.append(starts, len(keys)))
+            last = int(n[-1])
+            if last >= often:
+                full, held = keys[-1], 0
+            else:
+                n, held = n[:-1], last
+            rows = np.repeat(np.minimum(n, often), n)
+            several = rows > 1
+            done = len(keys) - held
+            if several.any():
+                yield out(ids[:done][several], keys[:done][several], rows[several])
+            keys, ids = keys[done:], ids[done:]
+        if len(keys) > 1:
+            yield out(ids, keys, np.full(len(keys), len(keys)))
+
+    dealt = members.select("key", "id").repartition(partitions(members.sparkSession), "key").sortWithinPartitions("key")
+    return dealt.mapInArrow(run, "id long, key long, often int")
+
+
+def _sets(docs: DataFrame, k: int) -> DataFrame:
+    """``digest, hashes`` of texts: their shingle sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = [words_of(raw.as_py()) for raw in b.column(0)]
+            arrays = [pa.array([_digest(w) for w in words], pa.string()), pa.array([shingle_set(w, k).view(np.int64) for w in words], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["digest", "hashes"])
+
+    return docs.select(F.col("text").cast("binary").alias("raw")).mapInArrow(run, "digest string, hashes array<long>")
+
+
+def _list(column: pa.Array) -> list[np.ndarray]:
+    """The rows of a column of longs as arrays of unsigned ones, without copies."""
+    values, at = column.values.to_numpy(zero_copy_only=False).view(np.uint64), column.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(at, at[1:])]
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The rows ``a, b`` of ``pairs`` whose sets are alike by ``similarity`` or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [
-                jaccard(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) >= similarity
-                for x, y in zip(batch.column(2), batch.column(3))
-            ]
+            keep = [jaccard(x, y) >= similarity for x, y in zip(_list(batch.column(2)), _list(batch.column(3)))]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    full = possible.join(hashes.toDF("a", "x"), "a").join(hashes.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    return full.mapInArrow(run, "a string, b string")
+    hashes = sets.select("id", "hashes")
+    full = pairs.join(hashes.toDF("a", "x"), "a").join(hashes.toDF("b", "y"), "b").where(F.least(F.size("x"), F.size("y")) >= F.lit(similarity) * F.greatest(F.size("x"), F.size("y")))
+    return full.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def _spare(n: Column, similarity: float) -> Column:
+    return (n - F.ceil(n * F.lit(similarity) - F.lit(1e-9))).cast("int")
 
 
-def _meet(ids, roots, sizes, places, similarity: float):
-    """Pairs of rows of one key, of different roots and like sizes: ids, whether it can be their first common member, least count.
+def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """``id, root, n, key, place`` of ``id, root, n, hashes``: the members that can be a like pair's first common one.
 
-    A pair's first common member has all common ones after it in both sets. All but the
-    last ``ceil(n * similarity) - 1`` members of a set are in its prefix, so a like pair
-    meets under at least as many keys as the common members that it takes exceed these.
+    In the order of frequency, rare ones first, that is one of the first ``spare + 1`` of both
+    sets. Members that no other set has come first and are only counted.
+    """
+    often = _often(sets.select("id", F.explode("hashes").alias("key")))
+    known = often.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("often", "key"))).alias("members"))
+    own = F.col("n") - F.size("members")
+    open_ = known.join(sets.select("id", "root", "n"), "id").withColumn("own", own).withColumn("left", _spare(F.col("n"), similarity) + 1 - F.col("own")).where("left > 0")
+    first = open_.select("id", "root", "n", "own", F.posexplode(F.slice("members", F.lit(1), F.col("left"))).alias("at", "member"))
+    return first.select("id", "root", "n", F.col("member.key").alias("key"), (F.col("own") + F.col("at")).alias("place"))
+
+
+def _islands(prefixes: DataFrame, similarity: float) -> DataFrame:
+    """Edges ``u, v`` that connect all rows of a key that can be alike and are of unlike groups.
+
+    A set of ``n`` members whose first common one stands at ``place`` has at most
+    ``n - place`` in common with another, which bounds the other's size from above. Rows
+    of a key in the order of their sizes whose bounds reach on to the next row form a run;
+    no row can be like one outside its run. So the edges are as many as the rows, however
+    frequent a key.
     """
     share = similarity / (1 + similarity)
-    by = np.argsort(sizes, kind="stable")
-    ids, roots, sizes, after = ids[by], roots[by], sizes[by], (sizes - places)[by]
-    ends = np.searchsorted(sizes, sizes / similarity + 1e-6, side="right")
-    for i in range(0, len(ids) - 1, 256):
-        part = slice(i, min(i + 256, len(ids)))
-        rest = slice(i + 1, int(ends[part].max()))
-        a, b = np.nonzero((roots[part, None] != roots[None, rest]) & (sizes[None, rest] <= sizes[part, None] / similarity + 1e-6))
-        later = b >= a  # columns begin one row further on
-        a, b = i + a[later], i + 1 + b[later]
-        least = np.ceil(share * (sizes[a] + sizes[b]) - 1e-6).astype(np.int64)
-        first = np.minimum(after[a], after[b]) >= least
-        need = least - np.ceil(np.maximum(sizes[a], sizes[b]) * similarity - 1e-9).astype(np.int64) + 1
-        yield ids[a], ids[b], first, need
-
-
-def _set_pairs(rows: DataFrame, similarity: float) -> DataFrame:
-    """All pairs ``u, v`` of ``id, root, n, prefix`` of different roots that may be alike: prefix filter."""
-    keyed = rows.select("id", "root", "n", F.posexplode("prefix").alias("place", "key"))
-
-    def pairs_of(k, ids, roots, sizes, places):
-        starts = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-        lens = np.diff(np.append(starts, len(k)))
-        mixed = np.minimum.reduceat(roots, starts) != np.maximum.reduceat(roots, starts)
-        for s, m in zip(starts[mixed], lens[mixed]):
-            at = slice(s, s + m)
-            yield from _meet(ids[at], roots[at], sizes[at], places[at], similarity)
-
-    def batch_of(found):
-        u, v, first, need = (np.concatenate(x) for x in zip(*found))
-        u, v = np.minimum(u, v), np.maximum(u, v)
-        by = np.lexsort((v, u))
-        u, v, first, need = u[by], v[by], first[by], need[by]
-        starts = np.flatnonzero(np.append(True, (u[1:] != u[:-1]) | (v[1:] != v[:-1])))
-        met = np.diff(np.append(starts, len(u)))
-        arrays = [u[starts], v[starts], met.astype(np.int64), np.logical_or.reduceat(first, starts), need[starts]]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["u", "v", "met", "first", "need"])
+    reach = (F.col("n") - F.col("place")) / F.lit(share) - F.col("n") + F.lit(1e-6)
+    order = Window.partitionBy("key").orderBy("n", "id")
+    before = F.max("reach").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    begun = prefixes.withColumn("reach", reach).withColumn("new", F.when(before >= F.col("n"), 0).otherwise(1))
+    runs = begun.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    mixed = runs.groupBy("key", "run").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("id").alias("v")).where("lo < hi").select("key", "run", "v")
+    return runs.select("key", "run", F.col("id").alias("u")).join(mixed, ["key", "run"]).select("u", "v").distinct()
+
+
+def forest(sets: list[np.ndarray], sides: np.ndarray, roots: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links that connect what likeness connects among sets, beyond what equal ``roots`` connect already.
+
+    With two ``sides``, only pairs of one and the other are compared.
+    """
+    n = np.array([len(s) for s in sets])
+    names, tree = np.unique(roots, return_inverse=True)
+    parent = list(range(len(names)))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    _, member = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), n)
+    by = np.argsort(member, kind="stable")
+    holders, counts = owner[by], np.bincount(member)
+    begin = np.cumsum(counts) - counts
+    at = np.cumsum(n) - n
+    two, found = sides.min() != sides.max(), []
+    for i in range(len(sets)):
+        own = member[at[i] : at[i] + n[i]]
+        lens = counts[own]
+        flat = np.repeat(begin[own] - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())
+        both = np.bincount(holders[flat], minlength=len(sets))
+        near = np.flatnonzero(both >= similarity * (n + n[i] - both))
+        near = near[(near > i) & ((sides[near] != sides[i]) | (not two))]
+        for j in near.tolist():
+            a, b = find(tree[i]), find(tree[j])
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                found.append((i, j))
+    return found
+
+
+def _links_in_blocks(members: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """Links ``u, v`` among ``id, root, block, hashes``, within each block, as forests.
+
+    A block with more than ``block`` set members is cut by id hash, and each pair of its
+    parts is compared by itself, so what a task holds is bounded.
+    """
+    size = members.groupBy("block").agg(F.ceil(F.sum(F.size("hashes")) / F.lit(block / 2)).cast("int").alias("parts"))
+    cut_up = members.join(size.withColumn("parts", F.when(F.col("parts") <= 2, 1).otherwise(F.col("parts"))), "block").withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
+    dealt = cut_up.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("block", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "id", "root", "hashes")
+
+    def links_of(t: pa.Table) -> pa.RecordBatch:
+        sides = t["part"].to_numpy()
+        found = forest(_list(t["hashes"].combine_chunks()), sides, t["root"].to_numpy(), similarity) if len(t) > 1 else []
+        ids = t["id"].to_numpy()
+        return pa.RecordBatch.from_arrays([pa.array([ids[x[i]] for x in found], pa.int64()) for i in range(2)], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, found, count = [], [], 0
+        held: list[pa.RecordBatch] = []
+        name = None
         for b in batches:
             if not b.num_rows:
                 continue
-            now = [b.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
-            held.append(now)
-            if held[0][0][0] == now[0][-1]:
-                continue  # all of one key so far
-            columns = [np.concatenate(x) for x in zip(*held)]
-            tail = int(np.searchsorted(columns[0], columns[0][-1]))
-            held = [[c[tail:] for c in columns]]
-            for pairs in pairs_of(*(c[:tail] for c in columns)):
-                found.append(pairs)
-                count += len(pairs[0])
-                if count > MET:
-                    yield batch_of(found)
-                    found, count = [], 0
+            names = np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)], axis=1)
+            starts = [0, *(np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1).tolist(), b.num_rows]
+            for s, e in zip(starts, starts[1:]):
+                if held and name != tuple(names[s]):
+                    yield links_of(pa.Table.from_batches(held))
+                    held = []
+                name = tuple(names[s])
+                held.append(b.slice(s, e - s))
         if held:
-            for pairs in pairs_of(*(np.concatenate(x) for x in zip(*held))):
-                found.append(pairs)
-                count += len(pairs[0])
-                if count > MET:
-                    yield batch_of(found)
-                    found, count = [], 0
-        if count:
-            yield batch_of(found)
-
-    dealt = keyed.select("key", "id", "root", "n", "place").repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key")
-    met = dealt.mapInArrow(run, "u long, v long, met long, first boolean, need long")
-    each = met.groupBy("u", "v").agg(F.sum("met").alias("met"), F.max("first").alias("first"), F.max("need").alias("need"))
-    return each.where("first and met >= need").select("u", "v")
-
-
-def _unlike_pairs(rows: DataFrame, radius: int, masks: list[int]) -> DataFrame:
-    """All pairs ``a, b`` of different groups at most ``radius`` bits apart, of ``fp, digest, root``.
-
-    A pair of different groups has a side outside its key's most frequent group, so only
-    those rows are compared with the rest: a key of one large group costs nothing. A pair
-    is only met under the first key that it shares.
-    """
-    keys = F.array(*[F.struct(F.lit(i).alias("combo"), F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long")).alias("key")) for i, m in enumerate(masks)])
-    keyed = rows.withColumn("k", F.explode(keys)).select("seed", "k.combo", "k.key", "fp", "digest", "root")
-    on = ["seed", "combo", "key"]
-    usual = keyed.groupBy(*on).agg(F.mode("root", deterministic=True).alias("usual"), F.max("root").alias("hi"), F.min("root").alias("lo")).where("hi <> lo").select(*on, "usual")
-    few = keyed.join(usual, on).where("root <> usual").select(*on, F.col("fp").alias("ofp"), F.col("digest").alias("o"), F.col("root").alias("oroot"))
-    apart = F.col("fp").bitwiseXOR(F.col("ofp"))
-    before = F.slice(F.array(*[F.lit(_signed(m)).cast("long") for m in masks]), F.lit(1), F.col("combo"))
-    first = ~F.exists(before, lambda m: apart.bitwiseAND(m) == 0)
-    near = few.join(keyed, on).where((F.col("root") != F.col("oroot")) & (F.bit_count(apart) <= radius) & first)
-    return near.select(F.least("digest", "o").alias("a"), F.greatest("digest", "o").alias("b")).distinct()
+            yield links_of(pa.Table.from_batches(held))
+
+    on = ["block", "lo", "hi"]
+    return dealt.repartition(partitions(members.sparkSession), *on).sortWithinPartitions(*on, "id").mapInArrow(run, "u long, v long")
 
 
 def similar_groups(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, set_words: int = 5,
-    shingle_words: int = 2, seeds: tuple[int, ...] = (42, 43, 44, 45), radius: int = 5, blocks: int = 7, shared: int = 2, max_run: int = 4096, every: bool = False,
+    shingle_words: int = 3, seed: int = 42, radius: int = 3, blocks: int = 6, shared: int = 3, max_run: int = MAX_RUN, block: int = BLOCK,
 ) -> DataFrame:
     """Groups of near copies: ``doc_id, component_id``, a row for each row with a doc_id.
 
     Texts with one sequence of words (ASCII white space, A-Z lower-cased) are one class.
     Classes link when the sets of their ``set_words``-word shingles are alike by
     ``similarity`` or more (Jaccard, on whole texts). ``component_id`` is the smallest doc_id
-    reachable over links, the row's own included.
+    reachable over links, the row's own included. All links count, whatever the edit, up to
+    collisions of 64-bit hashes:
+
+    1. Of a set's smallest hashes (three tenths of it, at 0.8) a like set has a third or more.
+       Classes of which others have fewer are like no other and play no further part.
+    2. The others' SimHash fingerprints (``shingle_words`` words) are linked within ``radius``
+       bits by pigeonhole blocks (``simhash.links``), and each link is checked on the sets.
+    3. Prefix filter in the order of exact frequencies: two like sets share a member of their
+       rarest ones. Where one is shared by classes of unlike groups whose sizes allow
+       likeness, these form a block, and blocks are compared whole.
 
-    First, pairs are checked whose SimHashes of one of ``seeds``, over ``shingle_words`` words,
-    differ in at most ``radius`` bits (pigeonhole blocks). With ``every``, all other pairs that
-    can be alike follow, between the groups so formed: each set is held under its rarest
-    members, as many as no like set can lack all of (prefix filter), so no pair is missed,
-    whatever the edit. Without it only pairs within the radius count, and texts alike by
-    ``similarity`` may stay apart; of those, every pair is checked but for pairs that links
-    already connect: where a key holds many, a forest first, then all pairs of unlike groups.
+    Nothing grows with the square of a group but the arithmetic inside a block's parts: keys
+    yield as many edges as rows, blocks the links of a forest.
 
     Null, empty and wordless texts are one class. Rows without a doc_id are left out; rows that
-    share one each count by their text. Other columns play no part. An empty table gives an empty result.
+    share one each count by their text. Very long texts have large sets, as they are. Other
+    columns play no part, whatever their names. An empty table gives an empty result.
     """
     given = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
-    rows = cut(_prints(given, shingle_words, seeds, set_words, similarity, _frequent(given, set_words) if every else None), "similar-docs")
-    classes = cut(rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("fps", "n", "prefix")]), "similar-classes")
-    prints = classes.select("digest", F.posexplode("fps").alias("seed", "fp"))
-    firsts = cut(prints.groupBy("seed", "fp").agg(F.min("digest").alias("digest"), F.count(F.lit(1)).alias("n")), "similar-prints")
-    found = None
-    for i in range(len(seeds)):
-        here = links(firsts.where(F.col("seed") == i).select("fp"), radius, blocks, shared, max_run).withColumn("seed", F.lit(i))
-        found = here if found is None else found.unionByName(here)
-    found = cut(found.groupBy("seed", "u", "v").agg(F.max("dense").alias("dense")), "similar-links")
-    at = lambda side, name: firsts.select("seed", F.col("fp").alias(side), F.col("digest").alias(name))
-    pairs = found.join(at("u", "a"), ["seed", "u"]).join(at("v", "b"), ["seed", "v"]).select("a", "b")
-    same = prints.join(firsts.where("n > 1").select("seed", "fp", F.col("digest").alias("a")), ["seed", "fp"]).where("a <> digest").select("a", F.col("digest").alias("b"))
-    pairs = cut(pairs.unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "similar-pairs")
-
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct().join(classes, "digest").select(F.col("first_id").alias("doc_id")).distinct()
-        return cut(_sets(given.join(ids, "doc_id", "left_semi"), set_words).dropDuplicates(["digest"]), "similar-sets")
-
-    def rooted(edges: DataFrame) -> DataFrame:
-        roots = cut(connected_components(edges.toDF("u", "v"), "similar-cc"), "similar-roots").toDF("digest", "root")
-        return classes.join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-
-    edges = cut(_alike(pairs, sets_of(pairs), similarity), "similar-edges")
-    known = rooted(edges)
-    if every:
-        ids = known.select(F.xxhash64("digest").alias("id"), F.xxhash64("root").alias("root"), "n", "prefix")
-        name = lambda side, c: classes.select(F.xxhash64("digest").alias(side), F.col("digest").alias(c))
-        more = cut(_set_pairs(ids, similarity), "similar-met")
-        more = cut(more.join(name("u", "a"), "u").join(name("v", "b"), "v").select("a", "b"), "similar-more")
-        if not more.isEmpty():
-            known = rooted(edges.unionByName(cut(_alike(more, sets_of(more), similarity), "similar-edges")))
+    rows = cut(_prints(given, shingle_words, seed, set_words, similarity), "similar-docs")
+    classes = rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp"), F.first("n").alias("n"))
+    classes = cut(classes.withColumn("id", F.monotonically_increasing_id()), "similar-classes")  # the numbering is fixed once it is written
+
+    firsts = classes.select("digest", F.col("first_id").alias("doc_id"), "id")
+    members = rows.select("doc_id", "digest", "prefix").join(firsts, ["doc_id", "digest"]).select("id", F.explode("prefix").alias("key"))
+    times = _shared(members).groupBy("id").agg(F.sum("times").alias("times")).join(classes, "id")
+    least = F.greatest(F.lit(1), F.floor(_spare(F.col("n"), similarity) / 2))
+    open_ = cut(times.where(F.col("times") >= least).drop("times"), "similar-open")
+    roots = None
+    if not open_.isEmpty():
+        texts = given.join(open_.select(F.col("first_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        sets = _sets(texts, set_words).join(open_.select("digest", "id", "fp", "n"), "digest").dropDuplicates(["id"])
+        sets = cut(sets.select("id", "fp", "n", "hashes"), "similar-sets")
+
+        prints = sets.groupBy("fp").agg(F.min("id").alias("id"))
+        at = lambda side, name: prints.select(F.col("fp").alias(side), F.col("id").alias(name))
+        pairs = links(cut(prints, "similar-prints").select("fp"), radius, blocks, shared, max_run).select("u", "v").distinct()
+        pairs = pairs.join(at("u", "a"), "u").join(at("v", "b"), "v").select("a", "b")
+        same = sets.select("id", "fp").join(prints.withColumnRenamed("id", "a"), "fp").where("a <> id").select("a", F.col("id").alias("b"))
+        edges = cut(_alike(pairs.unionByName(same), sets, similarity), "similar-edges").toDF("u", "v")
+        known = cut(connected_components(edges, "similar-cc"), "similar-roots").toDF("id", "root")
+
+        grouped = sets.join(known, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        near = cut(_islands(_prefixes(grouped, similarity), similarity), "similar-near")
+        if not near.isEmpty():
+            blocks_of = connected_components(near, "similar-cc").toDF("id", "block")
+            more = _links_in_blocks(blocks_of.join(grouped.select("id", "root", "hashes"), "id"), similarity, block)
+            edges = edges.unionByName(cut(more, "similar-more"))
+        roots = cut(connected_components(edges, "similar-cc"), "similar-roots").toDF("id", "root")
+        classes = classes.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     else:
-        several = firsts.where("n > 1").select("seed", "fp")
-        beside = found.join(several.withColumnRenamed("fp", "u"), ["seed", "u"], "left_semi").select("seed", F.col("v").alias("fp"))
-        beside = beside.unionByName(found.join(several.withColumnRenamed("fp", "v"), ["seed", "v"], "left_semi").select("seed", F.col("u").alias("fp")))
-        dense = found.where("dense").select("seed", F.explode(F.array("u", "v")).alias("fp")).unionByName(several).unionByName(beside)
-        dense = cut(dense.distinct(), "similar-dense")
-        if not dense.isEmpty():
-            open_rows = cut(prints.join(dense, ["seed", "fp"], "left_semi").join(known.select("digest", "root"), "digest"), "similar-open")
-            more = _unlike_pairs(open_rows, radius, block_masks(list(range(BITS)), blocks, shared)).join(pairs, ["a", "b"], "left_anti")
-            more = cut(more, "similar-more")
-            if not more.isEmpty():
-                known = rooted(edges.unionByName(cut(_alike(more, sets_of(more), similarity), "similar-edges")))
-    named = known.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    ids = known.select("digest", "root").join(named, "root").select("digest", "component_id")
-    return rows.join(ids, "digest").select("doc_id", "component_id")
+        classes = classes.withColumn("root", F.col("id"))
+    named = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    ids = classes.select("digest", "root").join(named, "root").select("digest", "component_id")
+    return rows.select("doc_id", "digest").join(ids, "digest").select("doc_id", "component_id")

@@ -3,7 +3,6 @@ import re
 from itertools import combinations
 
 import pytest
-import xxhash
 
 from evidentia.llm import similar
 
@@ -18,15 +17,9 @@ def parts(w, k):
     return [" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))] if w else []
 
 
-def bits(w, k, seed):
-    h = [xxhash.xxh64_intdigest(s.encode(), seed) for s in parts(w, k)]
-    return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
-
-
-def groups(texts, radius=5, seeds=(42, 43, 44, 45), k=2):
+def groups(texts):
     """For each text the index of the first one of its group, over all pairs."""
     ws = [words(t) for t in texts]
-    fps = [[bits(w, k, s) for s in seeds] for w in ws]
     sets = [set(parts(w, 5)) for w in ws]
     root = list(range(len(texts)))
 
@@ -36,8 +29,7 @@ def groups(texts, radius=5, seeds=(42, 43, 44, 45), k=2):
         return i
 
     for i, j in combinations(range(len(texts)), 2):
-        close = any(bin(a ^ b).count("1") <= radius for a, b in zip(fps[i], fps[j]))
-        if ws[i] == ws[j] or close and sets[i] | sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+        if ws[i] == ws[j] or sets[i] | sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
             root[max(find(i), find(j))] = min(find(i), find(j))
     return [find(i) for i in range(len(texts))]
 
@@ -58,8 +50,8 @@ def edited(rnd, w, edits):
     return w
 
 
-@pytest.mark.parametrize("max_run, seeds", [(4096, (42, 43, 44, 45)), (8, (42,))])
-def test_against_all_pairs(spark, max_run, seeds):
+@pytest.mark.parametrize("max_run, block", [(4096, similar.BLOCK), (8, 2000)])
+def test_against_all_pairs(spark, max_run, block):
     rnd = random.Random(3)
     texts = ["", None, " \n", "a", "A", "a b c d", "a b c d e", "a b c e d"]
     for _ in range(6):
@@ -68,8 +60,8 @@ def test_against_all_pairs(spark, max_run, seeds):
     hot = base(rnd, 200)  # a dense run: many close texts, some of them unlike each other
     texts += [" ".join(edited(rnd, hot, e)) for e in [1] * 25 + [3] * 20 + [8] * 15]
     rnd.shuffle(texts)
-    found = got(spark, [(i, t, "x", "y") for i, t in enumerate(texts)], max_run=max_run, seeds=seeds)
-    want = groups(texts, seeds=seeds)
+    found = got(spark, [(i, t, "x", "y") for i, t in enumerate(texts)], max_run=max_run, block=block)
+    want = groups(texts)
     assert [found[i] for i in range(len(texts))] == want
     assert len(set(want)) > 20
 
@@ -121,4 +113,4 @@ def test_every_kind_of_edit_is_found(spark):
         rows += [(2 * i, " ".join(w), "", ""), (2 * i + 1, " ".join(other), "", "")]
         want |= {2 * i: 2 * i, 2 * i + 1: 2 * i if len(a & b) >= 0.8 * len(a | b) else 2 * i + 1}
     assert sum(i != j for i, j in want.items()) >= 45
-    assert got(spark, rows, every=True) == want
+    assert got(spark, rows) == want
