@@ -38,16 +38,29 @@ def _shingles(rows: DataFrame, key: str, text: str, size: int) -> DataFrame:
     return chunks.select(key, "from", F.posexplode(windows).alias("i", "w")).select(key, (F.col("from") + F.col("i")).alias("at"), "w")
 
 
+def _unmatched(examples: DataFrame, evals: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(example_id, t) of examples that no evaluation text equals, and (eval_id, u), normalised."""
+    a = examples.select("example_id", normalised(F.col("text")).alias("t"))
+    b = evals.select("eval_id", normalised(F.col("text")).alias("u")).where("u <> ''")
+    return a.join(b.select(F.col("u").alias("t")), "t", "left_anti"), b
+
+
 def contained(examples: DataFrame, evals: DataFrame, least: int = LEAST) -> DataFrame:
-    """Pairs of which one normalised text, of ``least`` characters or more, stands in the other.
+    """Pairs of an example of ``least`` characters or more and an evaluation text, of which one stands in the other.
 
     A longer text is indexed by every window of ``least`` characters; a contained one
     is looked up by its first window and then compared in full, so no pair is formed that
-    shares nothing. Equal texts are not meant.
+    shares nothing. Shorter evaluation texts are looked up among the examples' windows of their
+    own length. Examples that some evaluation text equals are reported by ``exact`` alone.
     """
-    a = examples.select("example_id", normalised(F.col("text")).alias("t"))
-    b = evals.select("eval_id", normalised(F.col("text")).alias("u"))
-    return _inside(a, b, "example_id", "t", "eval_id", "u", least).unionByName(_inside(b, a, "eval_id", "u", "example_id", "t", least)).select("example_id", "eval_id").distinct()
+    a, b = _unmatched(examples, evals)
+    a = a.where(F.length("t") >= least)
+    found = _inside(a, b, "example_id", "t", "eval_id", "u", least).unionByName(_inside(b, a, "eval_id", "u", "example_id", "t", least))
+    short = b.where(F.length("u") < least)
+    for (size,) in sorted(short.select(F.length("u")).distinct().collect()):  # fewer than ``least`` numbers
+        windows = _shingles(a, "example_id", "t", size).select("example_id", F.col("w").alias("u")).distinct()
+        found = found.unionByName(windows.join(short.where(F.length("u") == size), "u").select("eval_id", "example_id"))
+    return found.select("example_id", "eval_id").distinct()
 
 
 def _inside(small: DataFrame, large: DataFrame, small_id: str, s: str, large_id: str, t: str, least: int) -> DataFrame:
@@ -58,9 +71,12 @@ def _inside(small: DataFrame, large: DataFrame, small_id: str, s: str, large_id:
 
 
 def shared_windows(examples: DataFrame, evals: DataFrame, size: int = WINDOW, step: int = STEP) -> DataFrame:
-    """Pairs of which a window of the example (every ``step`` characters) stands in the evaluation text."""
-    a = examples.select("example_id", normalised(F.col("text")).alias("t")).where(F.length("t") >= size)
-    b = evals.select("eval_id", normalised(F.col("text")).alias("u")).where(F.length("u") >= size)
+    """Pairs of which a window of the example (every ``step`` characters) stands in the evaluation text.
+
+    Examples that some evaluation text equals are reported by ``exact`` alone.
+    """
+    a, b = _unmatched(examples, evals)
+    a, b = a.where(F.length("t") >= size), b.where(F.length("u") >= size)
     probes = _shingles(a, "example_id", "t", size).where(F.col("at") % step == 0).select("example_id", "w").distinct().withColumn("k", F.xxhash64("w"))
     shingles = _shingles(b, "eval_id", "u", size).select("eval_id", F.xxhash64("w").alias("k"))
     met = probes.join(shingles, "k").select("example_id", "eval_id", "w").distinct()

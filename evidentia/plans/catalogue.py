@@ -407,12 +407,12 @@ def contamination_exact(v):
     return contamination.exact(v("example"), v("eval"))
 
 
-@query(f"WITH {_PAIR} SELECT example_id, eval_id FROM n, m WHERE t <> u AND (length(t) >= 30 AND contains(u, t) OR length(u) >= 30 AND contains(t, u))")
+@query(f"WITH {_PAIR} SELECT example_id, eval_id FROM n, m WHERE length(t) >= 30 AND u <> '' AND t NOT IN (SELECT u FROM m WHERE u IS NOT NULL) AND (contains(u, t) OR contains(t, u))")
 def contamination_substring(v):
     return contamination.contained(v("example"), v("eval"))
 
 
-@query(f"WITH {_PAIR}, w AS (SELECT DISTINCT example_id, substr(t, CAST(i AS INT) + 1, 50) AS w FROM n, range(0, 5000, 5) r(i) WHERE i <= length(t) - 50) SELECT DISTINCT example_id, eval_id FROM w, m WHERE contains(u, w)")
+@query(f"WITH {_PAIR}, w AS (SELECT DISTINCT example_id, substr(t, CAST(i AS INT) + 1, 50) AS w FROM (SELECT example_id, t, unnest(range(0, length(t) - 49, 5)) AS i FROM n WHERE length(t) >= 50 AND t NOT IN (SELECT u FROM m WHERE u IS NOT NULL))) SELECT DISTINCT example_id, eval_id FROM w, m WHERE contains(u, w)")
 def contamination_shingle(v):
     return contamination.shared_windows(v("example"), v("eval"))
 

@@ -38,9 +38,9 @@ def claim_text(v):
     return _claims(v).select("evidence_hash", claims.sentence(F.col("claim")).alias("claim_text"))
 
 
-@query("SELECT item_id, regexp_replace(" + "".join("replace(replace(" for _ in R.GREEK) + "lower(substr(text, 1, 60))" + "".join(f", '{w}', '{x}'), '{s}', '{x}')" for w, s, x in R.GREEK) + r", '[^\p{L}\p{N}]', '', 'g') AS alias FROM {benchmark}")
+@query("SELECT item_id, regexp_replace(" + "".join("replace(replace(" for _ in R.GREEK) + "lower(text)" + "".join(f", '{w}', '{x}'), '{s}', '{x}')" for w, s, x in R.GREEK) + r", '[^\p{L}\p{N}]', '', 'g') AS alias FROM {benchmark}")
 def alias_normalise(v):
-    return v("benchmark").select("item_id", context.normalised(F.substring("text", 1, 60)).alias("alias"))
+    return v("benchmark").select("item_id", context.normalised(F.col("text")).alias("alias"))
 
 
 @query("SELECT evidence_hash, verb < 5 AS found, CASE verb WHEN 0 THEN 'modification' WHEN 1 THEN 'activity' WHEN 2 THEN 'activity' WHEN 3 THEN 'binding' WHEN 4 THEN 'amount' END AS axis FROM {sentence}")
@@ -55,9 +55,11 @@ def chain_signal(v):
     return v("sentence").select("evidence_hash", c["has_chain"].alias("has_chain"), F.array_join(c["candidates"], ",").alias("candidates"))
 
 
-@query("SELECT evidence_hash, CASE WHEN contains(text, 'RAF/MEK/ERK') THEN 'ERK' ELSE '' END AS terminals FROM {sentence}")
+@query("SELECT evidence_hash, CASE WHEN contains(text, 'RAF/MEK/ERK') THEN 'ERK' ELSE '' END AS terminals, CASE WHEN contains(text, 'RAF/MEK/ERK') AND evidence_hash % 3 = 0 THEN subject ELSE '' END AS bound_terminals FROM {sentence}")
 def cascade_terminal(v):
-    return v("sentence").select("evidence_hash", F.array_join(context.cascade_terminals(F.col("text")), ",").alias("terminals"))
+    names = F.array(F.struct(F.col("subject").alias("name"), F.when(F.col("evidence_hash") % 3 == 0, F.array(F.lit("erk"))).otherwise(F.array().cast("array<string>")).alias("aliases")))
+    join = lambda c: F.array_join(c, ",")
+    return v("sentence").select("evidence_hash", join(context.cascade_terminals(F.col("text"))).alias("terminals"), join(context.cascade_terminals(F.col("text"), names)).alias("bound_terminals"))
 
 
 @query(f"SELECT evidence_hash, CASE WHEN verb < 5 THEN 'present_as_subject' END AS subject_role, CASE WHEN verb < 5 THEN 'present_as_object' END AS object_role, {_RELATION} AS relation_axis, CASE verb WHEN 5 THEN 'negated' WHEN 6 THEN 'hedged' END AS scope FROM {{sentence}}")
@@ -100,12 +102,11 @@ def adjudicate(v):
     return grid.select("*", F.concat(d["verdict"], F.lit("/"), F.coalesce(d["reason"], F.lit(""))).alias("outcome"))
 
 
-@query("""WITH i AS (SELECT least(lower(subject), lower(object)) AS a, greatest(lower(subject), lower(object)) AS b, stmt_type, CAST(verb AS DOUBLE) / 8 AS belief, 1 AS n FROM {sentence})
-  SELECT q.evidence_hash AS query_id, max(CASE WHEN i.stmt_type IN ('Activation', 'Inhibition') THEN belief END) AS same_axis_belief, CAST(sum(CASE WHEN i.stmt_type IN ('Activation', 'Inhibition') THEN 1 ELSE 0 END) AS BIGINT) AS same_axis_n
-  FROM (SELECT * FROM {sentence} WHERE evidence_hash % 50 = 11) q JOIN i ON i.a = least(lower(q.subject), lower(q.object)) AND i.b = greatest(lower(q.subject), lower(q.object)) GROUP BY 1""")
+@query("""WITH i AS (SELECT least(lower(subject), lower(object)) AS a, greatest(lower(subject), lower(object)) AS b, stmt_type, CAST(verb AS DOUBLE) / 8 AS belief FROM {sentence}), p AS (SELECT a, b, max(CASE WHEN stmt_type IN ('Activation', 'Inhibition') THEN belief END) AS belief, count(*) FILTER (stmt_type IN ('Activation', 'Inhibition')) AS n FROM i GROUP BY 1, 2)
+  SELECT q.evidence_hash AS query_id, max(i.belief) AS same_axis_belief, CAST(sum(i.n) AS BIGINT) AS same_axis_n FROM {sentence} q JOIN p i ON i.a = least(lower(q.subject), lower(q.object)) AND i.b = greatest(lower(q.subject), lower(q.object)) GROUP BY 1""")
 def kg_pair_signal(v):
     s = v("sentence").withColumn("agents", F.array("subject", "object")).withColumn("belief", F.col("verb").cast("double") / 8).withColumn("n_evidence", F.lit(1))
-    asked = v("sentence").where("evidence_hash % 50 = 11").select(F.col("evidence_hash").alias("query_id"), F.col("object").alias("a"), F.col("subject").alias("b"), F.lit("activity").alias("axis"))
+    asked = v("sentence").select(F.col("evidence_hash").alias("query_id"), F.col("object").alias("a"), F.col("subject").alias("b"), F.lit("activity").alias("axis"))
     return claims.pair_signal(asked, claims.pair_index(s)).select("query_id", "same_axis_belief", "same_axis_n")
 
 

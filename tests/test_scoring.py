@@ -46,6 +46,10 @@ SENTENCES = {
     "act_pos.x_induced_act_of_coord_last": "ERK2-induced activation of FOS, JUN and Elk-1",
     "act_pos.x_induced_release_of": "ERK2 stimulates the release of Elk-1",
     "act_pos.x_induced_release_coord_last": "ERK2-induced release of IL6 and Elk-1",
+    "act_neg.verb_activation_of": "ERK2 inhibits the activation of Elk-1",
+    "act_neg.verb_y_activation": "ERK2 suppresses Elk-1 signaling",
+    "act_neg.nominalized_by": "reduction in Elk-1 activity by ERK2",
+    "act_neg.mediated_decrease": "ERK2-mediated decrease in Elk-1 activity",
     "amt_pos.upregulates": "ERK2 upregulates Elk-1 expression",
     "amt_pos.induces_expression": "ERK2 induces Elk-1 expression",
     "amt_pos.passive_upregulated": "Elk-1 expression is increased by ERK2",
@@ -54,10 +58,6 @@ SENTENCES = {
     "amt_pos.x_induces_expression_of_y": "ERK2 further induces the expression of Elk-1",
     "amt_pos.coord_first": "ERK2 increases Elk-1 and FOS expression",
     "amt_pos.coord_last": "ERK2 increases FOS and Elk-1 secretion",
-    "act_neg.verb_activation_of": "ERK2 inhibits the activation of Elk-1",
-    "act_neg.verb_y_activation": "ERK2 suppresses Elk-1 signaling",
-    "act_neg.nominalized_by": "reduction in Elk-1 activity by ERK2",
-    "act_neg.mediated_decrease": "ERK2-mediated decrease in Elk-1 activity",
 }
 
 
@@ -104,6 +104,8 @@ def test_text_columns(spark):
     assert not one(context.chain, "A activates B").has_chain
     assert one(context.nominalisations, "INS-induced activation of PI3K and ins-induced ACTIVATION of pi3k") == ["INS-induced activation of PI3K"]
     assert one(context.cascade_terminals, "the RAF/MEK/ERK pathway and JAK-STAT3-SOCS signaling") == ["ERK", "SOCS"]
+    names = F.array(*[F.struct(F.lit(e["name"]).alias("name"), F.array(*map(F.lit, e["aliases"])).alias("aliases")) for e in NAMES])
+    assert one(lambda t: context.cascade_terminals(t, names), "RAF/MEK/ERK2 pathway, A/B/ERK2 axis, a/b/c cascade and JAK-STAT3-Elk1 signaling") == ["MAPK1", "ELK1"]
 
 
 def test_positions_detectors():
@@ -119,6 +121,27 @@ def test_positions_detectors():
     t = "ERK2 does not activate Elk-1"
     assert context.negated(t, context.positions(t, ["ERK2"]), context.positions(t, ["Elk-1"]))
     assert not context.negated(t, context.positions(t, ["ERK2"]), [])
+    assert context.sites("phosphorylation " + "x " * 14 + "at T185 and Y187") == ["T185"]  # the second one is too far off
+    assert context.sites("S102 is modified. Table T9 shows residue S5 kinase") == ["S102"]
+    assert context.hedges("presumably to bind ERK2", context.positions("presumably to bind ERK2", ["ERK2"])) == ["presumably", "presumably to"]
+    far = "may " + "x" * 70 + " ERK2"
+    assert context.hedges(far, context.positions(far, ["ERK2"])) == []
+    far = "ERK2 " + "x" * 60 + " not " + "x" * 60 + " Elk-1"
+    assert not context.negated(far, context.positions(far, ["ERK2"]), context.positions(far, ["Elk-1"]))
+
+
+def test_features_of_a_batch_are_those_of_each_row():
+    texts = [*SENTENCES.values(), "ERK2 may not bind Elk-1; residue S383 is modified", None, "", "ERK2 knockdown reduced ELK1-induced phosphorylation", "ERK2 may not bind Elk-1; residue S383 is modified"]
+    rows = [(t, "MAPK1", "ELK1", NAMES) for t in texts]
+    together = context.features(*zip(*rows))
+    assert together == [context.features([t], [s], [o], [e])[0] for t, s, o, e in rows]
+    assert together[48]["sites"] == ["S383"] and together[48]["hedges"] == ["may"] and together[48]["negated"] and together[51]["subject_perturbation"] == "loss_of_function"
+
+
+def test_catalogue_order():
+    found = context.detected("AAA upregulates BBB. AAA inhibits the activation of BBB.", [{"name": n, "aliases": []} for n in ("AAA", "BBB")])
+    assert [d["pattern_id"] for d in found][:1] == ["act_neg.verb_activation_of"]
+    assert [k.split(".")[0] for k in dict.fromkeys(k.split(".")[0] for k in SENTENCES)] == ["mod_pos", "bind", "act_pos", "act_neg", "amt_pos"]
 
 
 def pairs(spark, rows):
