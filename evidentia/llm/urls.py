@@ -22,8 +22,8 @@ RULES = [
     ("block", "net", "/fr/"),
 ]
 #: Share of the labelled URLs that a token combination must be in, and of those with it that
-#: must have the verdict; most tokens of a combination; least rows with it.
-SUPPORT, CONFIDENCE, MOST, LEAST = 0.005, 0.8, 4, 5
+#: must have the verdict. Both hold for tables of any size.
+SUPPORT, CONFIDENCE = 0.02, 0.8
 
 
 def host(url: Column) -> Column:
@@ -63,26 +63,24 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     return F.array_distinct(F.coalesce(F.concat(scheme, tagged("h", F.split(host, r"\.")), tagged("p", F.split(path, "/")), tagged("e", ending), tagged("q", names), fragment), F.array().cast("array<string>")))
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, most: int = MOST, least: int = LEAST) -> DataFrame:
+def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """Association rules ``antecedent, verdict, confidence, support, key`` of labelled token sets.
 
-    ``labelled``: ``tokens`` (distinct strings) and ``verdict``. A rule has at most ``most``
-    tokens, is in at least ``support`` of the rows (and ``least`` rows, or small tables would
-    yield every combination) and has its verdict in ``confidence`` of them; a rule with a shorter one inside that has the same verdict and no less confidence
+    ``labelled``: ``tokens`` (distinct strings) and ``verdict``. A rule with its verdict is in
+    at least ``support`` of the rows and has the verdict in ``confidence`` of those with its
+    tokens; a rule with a shorter one inside that has the same verdict and no less confidence
     is pruned. ``key`` is its rarest token, under which the index holds it. How many rules
     there are depends on ``support``, not on the number of rows. No rows: no rules.
     """
     from pyspark.ml.fpm import FPGrowth
 
     empty = labelled.sparkSession.createDataFrame([], "antecedent array<string>, verdict string, confidence double, support double, key string")
-    n = labelled.count()
-    if not n:
+    if labelled.isEmpty():
         return empty
-    support = min(1.0, max(support, least / n))
     mark = "verdict:"
     items = labelled.select(F.array_append("tokens", F.concat(F.lit(mark), F.col("verdict"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items)
-    rules = model.associationRules.where(F.startswith(F.col("consequent")[0], F.lit(mark)) & (F.size("antecedent") <= most) & ~F.exists("antecedent", lambda t: F.startswith(t, F.lit(mark))))
+    rules = model.associationRules.where(F.startswith(F.col("consequent")[0], F.lit(mark)) & ~F.exists("antecedent", lambda t: F.startswith(t, F.lit(mark))))
     rules = cut(rules.select(F.array_sort("antecedent").alias("antecedent"), F.substring(F.col("consequent")[0], len(mark) + 1, 99).alias("verdict"), "confidence", "support"), "url-rules")
     parts = rules.select("antecedent", "verdict", "confidence", F.explode("antecedent").alias("t"))
     # a rule that lies inside another shares a token with it; both sides are mined rules

@@ -1,4 +1,6 @@
+import random
 import re
+from itertools import combinations
 
 from evidentia.llm import urls
 
@@ -41,8 +43,6 @@ def test_mined_rules_against_counts(spark):
     df = spark.createDataFrame(rows, "tokens array<string>, verdict string")
     got = {(tuple(r.antecedent), r.verdict): (round(r.confidence, 9), r.key) for r in urls.mine(df, support=0.1, confidence=0.8).collect()}
     want = {}
-    from itertools import combinations
-
     for size in (1, 2, 3):
         for combo in combinations("abcd", size):
             own = [v for t, v in rows if set(combo) <= set(t)]
@@ -54,3 +54,48 @@ def test_mined_rules_against_counts(spark):
     assert {k: v[0] for k, v in got.items()} == {k: round(v, 9) for k, v in want.items()}
     matched = urls.match(spark.createDataFrame([(1, ["a", "b", "x"]), (2, ["d", "a"]), (3, ["x"])], "page_id long, tokens array<string>"), urls.mine(df, 0.1, 0.8))
     assert {r.page_id: r.mined.verdict for r in matched.collect()} == {1: "block", 2: "allow"}
+
+
+def plain_tokens(url):
+    """Tokens of a URL as the operator's docstring has them."""
+    if url is None:
+        return set()
+    h, p, _, _ = plain(url)
+    out = {f"h:{x}" for x in h.split(".") if x} | {f"p:{x}" for x in p.split("/") if x}
+    if "://" in url:
+        out.add("s:" + url.split("://", 1)[0])
+    if m := re.search(r"(\.[A-Za-z0-9]+)$", p):
+        out.add("e:" + m[1])
+    if m := re.search(r"\?([^#]*)", url):
+        out |= {"q:" + x.split("=")[0] for x in m[1].split("&") if x.split("=")[0]}
+    return out | ({"f:"} if "#" in url else set())
+
+
+def test_verdicts_by_value(spark):
+    rnd = random.Random(5)
+    hosts = ["example.com", "www.example.com", "a.net", "b.net", "c.org", "d.org", "com"]
+    rows = []
+    for i in range(400):
+        path = "/".join([rnd.choice(["en", "fr", "es", "de"]), rnd.choice(["a", "b", "c"]) + rnd.choice(["", ".html", ".pdf"])])
+        rows.append((i, f"{rnd.choice(['http', 'https'])}://{rnd.choice(hosts)}/{path}" + rnd.choice(["", "?id=1", "?id=1&x", "#t"])))
+    rows += [(1000, None), (1001, "no scheme"), (1001, "no scheme"), (None, "http://z.org/fr/a")]
+    support, confidence = 0.05, 0.7
+    labelled = [(plain_tokens(u), plain(u)[3]) for _, u in rows if plain(u)[3]]
+    rules = {}
+    for size in range(1, 9):
+        for combo in {c for t, _ in labelled for c in combinations(sorted(t), size)}:
+            own = [v for t, v in labelled if t.issuperset(combo)]
+            for v in ("allow", "block"):
+                n, c = own.count(v), own.count(v) / len(own)
+                if n >= support * len(labelled) and c >= confidence and not any(w == v and rc >= c and set(o) < set(combo) for (o, w), (rc, _) in rules.items()):
+                    rules[combo, v] = c, n / len(labelled)
+    want = []
+    for i, u in rows:
+        h, p, rule, verdict = plain(u)
+        best = max(((c, n, len(combo), v == "block", " ".join(combo)) for (combo, v), (c, n) in rules.items() if plain_tokens(u).issuperset(combo)), default=None)
+        mined = best[4] if best and rule is None else None
+        want.append((i, h, p, rule, verdict or ("allow" if not best else "block" if best[3] else "allow"), mined))
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    got = [tuple(r) for r in urls.judge(df, support=support, confidence=confidence).select("page_id", "host", "path", "rule", "verdict", "mined").collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    assert {w[4] for w in want if w[3] is None} == {"allow", "block"}
