@@ -41,9 +41,7 @@ def op3_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every token piece of every document and its place in a sequence of 2048."""
-    import public_tokenizers
-
-    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
 def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
