@@ -22,8 +22,8 @@ ANCHORS = {
 }
 #: Content words in a chain.
 CHAIN = 3
-#: Documents in a bucket of the doc_id order, about.
-BUCKET = 5000
+#: Lots of the doc_id order for each shuffle partition.
+LOTS = 4
 _MARK = "\x01"
 
 
@@ -36,7 +36,7 @@ def _alternatives(words: set[str]) -> str:
 
 
 def signatures(text: Column, chain: int = CHAIN, anchors: dict[str, str] = ANCHORS, whole: bool = False) -> Column:
-    """The text's fingerprint set: sorted distinct 32-bit hashes of its chains.
+    """The text's fingerprint set: sorted distinct 64-bit hashes of its chains.
 
     Letters and digits make words, lower-cased. Wherever common words (or the start of the
     text) are followed by content words, the next ``chain`` of these, common words between
@@ -52,10 +52,10 @@ def signatures(text: Column, chain: int = CHAIN, anchors: dict[str, str] = ANCHO
         # a common word becomes a mark, and keeps the space before what follows
         marked = F.concat(F.lit(_MARK), F.regexp_replace(plain, common, _MARK))
         found = F.regexp_extract_all(marked, F.lit(runs), F.lit(1))
-        return F.array_sort(F.array_distinct(F.transform(found, lambda c: F.hash(F.translate(c, _MARK, "")))))
+        return F.array_sort(F.array_distinct(F.transform(found, lambda c: F.xxhash64(F.translate(c, _MARK, "")))))
 
     def or_whole(hashed: Column, plain: Column) -> Column:
-        every = F.when(F.trim(plain) == "", F.array().cast("array<int>")).otherwise(F.array(F.hash(plain)))
+        every = F.when(F.trim(plain) == "", F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64(plain)))
         chained = F.size(hashed) > 0
         return F.when(chained & F.rlike(plain, F.lit(common)) if whole else chained, hashed).otherwise(every)
 
@@ -88,18 +88,18 @@ def as_text(fingerprint: Column) -> Column:
     return F.array_join(fingerprint.cast("array<string>"), " ")
 
 
-def in_order(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket: int = BUCKET) -> tuple[DataFrame, Window]:
+def in_order(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lots: int = LOTS) -> tuple[DataFrame, Window]:
     """``doc_id, text, lot, turn`` and the window in which the next row is the next document.
 
-    Rows are dealt by cuts of the doc_id (approximate quantiles, one for about each
-    ``bucket`` rows) and each lot also gets a copy (``turn`` over 0) of the first document of
+    Rows are dealt by cuts of the doc_id (approximate quantiles, ``lots`` for each shuffle
+    partition, whatever the number of rows; a lot is sorted, not held) and each lot also gets a copy (``turn`` over 0) of the first document of
     the lot after it, the last lot that of the first. So no task sees the whole order, and
     only one shuffle moves the texts. Ties stand by text; null ids come first.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     key = F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long"))
-    n = max(partitions(spark), -(-docs.count() // bucket))
+    n = lots * partitions(spark)
     cuts = sorted(set(docs.select(F.col(doc_id).cast("long").alias("doc_id")).approxQuantile("doc_id", [i / n for i in range(1, n)], 0.25 / n))) if n > 1 else []
     # a binary search in the cuts, through a table of them: the lot is how many lie below
     bounds = F.array(*[F.lit(int(c)) for c in cuts]).cast("array<bigint>")
@@ -121,7 +121,7 @@ def _below(bounds: Column, key: Column, n: int) -> Column:
     return F.aggregate(steps, F.lit(0), lambda at, s: F.when((at + s <= n) & (F.coalesce(F.get(bounds, at + s - 1), F.lit((1 << 63) - 1)) < key), at + s).otherwise(at))
 
 
-def edited_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket: int = BUCKET, whole: bool = False) -> DataFrame:
+def edited_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lots: int = LOTS, whole: bool = False) -> DataFrame:
     """Fingerprints of every document and of its edited text, held against each other.
 
     The edited text has, for the last quarter of its code points (rounded down), as many from
@@ -133,7 +133,7 @@ def edited_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bu
     one; rows with equal ids stand in the order of their texts; an empty table gives an
     empty result.
     """
-    rows, order = in_order(docs, doc_id, text, bucket)
+    rows, order = in_order(docs, doc_id, text, lots)
     rows = rows.withColumn("next_text", F.lead("text").over(order)).withColumn("fingerprint", signatures(F.col("text"), whole=whole))
     rows = rows.withColumn("next_fingerprint", F.lead("fingerprint").over(order)).where("turn = 0")
     n = F.length("text")

@@ -50,11 +50,11 @@ def test_signatures(spark):
         assert len(got[i] & got[j]) == len(want[i] & want[j])
 
 
-@pytest.mark.parametrize("bucket", [5000, 7])
-def test_edited(spark, bucket):
+@pytest.mark.parametrize("lots", [1, 4])
+def test_edited(spark, lots):
     rows = [(i * 3 - 9, t, 1) for i, t in enumerate(texts())] + [(0, "tie the tie", 1), (0, "tie the tie", 1), (None, "first of all", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lot int").repartition(5)
-    got = spotsigs.edited_pairs(df, bucket=bucket).collect()
+    got = spotsigs.edited_pairs(df, lots=lots).collect()
     ordered = sorted(rows, key=lambda r: (-(10**9) if r[0] is None else r[0], (r[1] or "").encode()))
     want = []
     for r, after in zip(ordered, ordered[1:] + ordered[:1]):
