@@ -26,7 +26,7 @@ def make(n=60, seed=1):
 
 
 def brute(docs, words):
-    """Lines in a run with so many words that stands in an earlier place: all windows compared."""
+    """Lines in a run with so many words that stands in an earlier place: all runs of any length compared."""
     seen, out = {}, {}
     for key, text in docs:
         lines = [x.strip() for x in text.split("\n") if x.strip()]
@@ -38,7 +38,6 @@ def brute(docs, words):
                     if run in seen:
                         gone |= set(range(s, e + 1))
                     seen.setdefault(run, (key, s))
-                    break
         out[key] = gone
     return out
 
@@ -64,6 +63,26 @@ def test_long_repeats_go_and_first_ones_stay(spark):
     assert got[20].text == "" and got[0].text.startswith("a short line everywhere") and got[7].text.startswith("a short line everywhere")
 
 
+def test_runs_around_a_passage_that_stands_alone_earlier(spark):
+    line = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
+    w, x, y, z = line("w", 50), line("x", 20), line("y", 20), line("z", 20)
+    docs = [(1, w), (2, "\n".join([w, x, y])), (3, "\n".join([w, x, y])), (4, "\n".join([x, w])), (5, "\n".join([z, x, w, y, z])), (6, "\n".join([y, z, w, x, y]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in winnow.dedup_lines(df).collect()}
+    assert got == {1: 0, 2: 1, 3: 3, 4: 1, 5: 2, 6: 3} == {i: len(x) for i, x in brute(docs, 50).items()}
+    many = docs + [(i, docs[1][1]) for i in range(7, 60)]
+    df = spark.createDataFrame(many, "doc_id long, text string")
+    runs = winnow.repeated_runs(df, rows_a_lot=4)  # the second document is laid out in many lots
+    assert runs.count() == 58
+
+
+def test_rows_of_one_id(spark):
+    long = "\n".join(" ".join(f"w{i}x{j}" for j in range(12)) for i in range(6))
+    df = spark.createDataFrame([(1, long), (1, long + "\nmore"), (1, long)], "doc_id long, text string")
+    got = sorted((len(r.text), r.n_removed) for r in winnow.dedup_lines(df).collect())
+    assert got in ([(0, 6), (0, 6), (len(long) + 5, 0)], [(4, 6), (len(long), 0), (len(long), 0)])
+
+
 def test_odd_rows(spark):
     long = "\n".join(" ".join(f"w{i}x{j}" for j in range(12)) for i in range(6))
     rows = [(None, long), (5, None), (6, ""), (7, "\n \n"), (8, long), (8, long), (9, "x " * 30000), (10, long + "\nend"), (11, "one\n\n" + long)]
@@ -80,6 +99,10 @@ def test_guarantee(shared, before, after):
     lines = lambda ns, tag: [" ".join(f"{tag}{i}-{j}" for j in range(n)) for i, n in enumerate(ns)]
     a = "\n".join(lines(before, "b") + lines(shared, "s"))
     b = "\n".join(lines(shared, "s") + lines(after, "a"))
-    one, two = (set(winnow.winnow(*winnow.line_hashes(t))) for t in (a, b))
+    one, two = (winnow.winnow(*winnow.line_hashes(t)) for t in (a, b))
     if sum(shared) >= 50:
-        assert one & two
+        assert one.keys() & two.keys()
+        both = {w for g in one.keys() & two.keys() for w, _ in one[g]}
+        first = {w: s for ws in two.values() for w, s in ws if w in both}
+        spans = winnow.windows_of(winnow.line_hashes(b)[1])
+        assert {i for s, e in spans if s in first.values() and e < len(shared) for i in range(s, e + 1)} == set(range(len(shared)))
