@@ -59,29 +59,41 @@ def _interleaved(s: Column, bits: int) -> Column:
     return out
 
 
-def _leading(text: Column) -> Column:
-    """The first six bytes of a string as a number in the order of the strings; null stays null."""
-    return F.conv(F.rpad(F.hex(F.substring(F.encode(text, "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
+def _first_of_cells(docs: DataFrame, column: str, bits: int) -> list[tuple[int, object]]:
+    """(cell, its smallest value) of each of at most ``2**bits`` cells that hold about as many rows each.
+
+    Whole values are ranked, by the counts of the distinct ones: range partitions of these and
+    sums by partition, so neither a frequent value nor many values meet in one task.
+    """
+    spark = docs.sparkSession
+    counts = docs.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.repartitionByRange(partitions(spark), "value").sortWithinPartitions("value").withColumn("place", F.monotonically_increasing_id())
+    counts = cut(counts, "hilbert-values").withColumn("part", F.shiftright("place", 33))  # the numbering is fixed once it is written
+    sums = counts.groupBy("part").agg(F.sum("n").alias("sum"))
+    before = sums.select("part", (F.sum("sum").over(Window.orderBy("part")) - F.col("sum")).alias("before"), F.sum("sum").over(Window.partitionBy()).alias("total"))  # a row for each partition
+    ranked = counts.join(F.broadcast(before), "part").withColumn("at", F.col("before") + F.sum("n").over(Window.partitionBy("part").orderBy("place")) - F.col("n"))
+    cells = ranked.groupBy(F.floor(F.col("at") * (1 << bits) / F.col("total")).cast("int").alias("cell")).agg(F.min("value").alias("first"))
+    return sorted((r.cell, r.first) for r in cells.collect())
+
+
+def _cell(value: Column, firsts: list[tuple[int, object]]) -> Column:
+    """The cell of a value: that of the largest first value not above it; of null 0."""
+    table = F.array(*[F.struct(F.lit(c).alias("cell"), F.lit(v).alias("first")) for c, v in firsts]) if firsts else F.array().cast("array<struct<cell:int,first:string>>")
+    return F.coalesce(F.array_max(F.transform(F.filter(table, lambda c: c["first"] <= value), lambda c: c["cell"])), F.lit(0))
 
 
 def with_index(docs: DataFrame, text: str, strings: tuple[str, str], bits: int = BITS) -> DataFrame:
     """``docs`` with ``size`` and ``hilbert``: the curve's index of (strings, size).
 
-    Each dimension is cut at its approximate quantiles, which reach the driver (at most
-    ``2**bits - 1`` numbers each), so slices hold about as many rows each, a frequent value
-    spans several, and the order of the values stays. Nulls lie below all else.
+    Each dimension is cut into cells that hold about as many rows each, in the order of its whole
+    values: a frequent value takes the place of several cells, and values that share a
+    beginning, however long, are told apart. At most ``2**bits`` first values of each dimension
+    reach the driver. Nulls lie in the lowest cell.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     measured = docs.withColumn("size", F.octet_length(body).cast("long") + 1)
-    dims = measured.select(*[_leading(F.col(c)).alias(f"d{i}") for i, c in enumerate(strings)], F.col("size").cast("double").alias("d2"))
-    cuts = dims.approxQuantile(["d0", "d1", "d2"], [i / 2**bits for i in range(1, 2**bits)], 1 / 2 ** (bits + 2))
-
-    def cell(value: Column, at: list[float]) -> Column:
-        below = F.array(*map(F.lit, at)) if at else F.array().cast("array<double>")
-        return F.size(F.filter(below, lambda c: F.coalesce(c < value, F.lit(False))))
-
-    values = [_leading(F.col(c)) for c in strings] + [F.col("size").cast("double")]
-    return measured.withColumn("hilbert", hilbert3(*[cell(v, at) for v, at in zip(values, cuts)], bits))
+    firsts = [_first_of_cells(measured, c, bits) for c in (*strings, "size")]
+    return measured.withColumn("hilbert", hilbert3(*[_cell(F.col(c), at) for c, at in zip((*strings, "size"), firsts)], bits))
 
 
 def assign(docs: DataFrame, shards: int = 16, doc_id: str = "doc_id", text: str = "text", strings: tuple[str, str] = ("lang", "source")) -> DataFrame:

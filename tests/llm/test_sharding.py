@@ -40,3 +40,30 @@ def test_files_are_pruned(spark, tmp_path):
     assert back.count() == 4000 and back.select("doc_id").distinct().count() == 4000
     touched = lambda c, v: back.where(F.col(c) == v).select("shard").distinct().count()
     assert touched("lang", "de") <= 9 and touched("source", "src3") <= 13
+
+
+def test_sources_that_begin_alike(spark):
+    rows = [(i, "t" * (i % 11), "en", f"https://host.example/{i % 8}/" + "x" * 3000) for i in range(800)] + [(800 + i, "é" * 200_000, None, None) for i in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = sharding.with_index(df, "text", ("lang", "source")).select("source", "size", "hilbert").collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.source, set()).add(r.hilbert)
+    assert len(by) == 9 and all(not a & b for i, a in by.items() for j, b in by.items() if i != j)
+    assert max(r.size for r in got) == 400_001
+
+
+def test_curve_of_the_query(spark):
+    n = 2**sharding.BITS
+    cells = spark.range(n**3).select((F.col("id") % n).alias("x"), F.floor(F.col("id") / n % n).alias("y"), F.floor(F.col("id") / n**2).alias("z"))
+    got = cells.select("x", "y", "z", sharding.hilbert3(F.col("x"), F.col("y"), F.col("z")).alias("h")).orderBy("h").collect()
+    assert [r.h for r in got] == list(range(n**3))
+    assert all(abs(a.x - b.x) + abs(a.y - b.y) + abs(a.z - b.z) == 1 for a, b in zip(got, got[1:]))
+
+
+def test_cells_hold_about_as_many_rows(spark):
+    df = spark.range(4000).select(F.concat(F.lit("same beginning "), F.lpad((F.col("id") * 7 % 1000).cast("string"), 4, "0")).alias("c"))
+    firsts = sharding._first_of_cells(df, "c", 3)
+    assert [c for c, _ in firsts] == list(range(8))
+    counts = {r.cell: r["count"] for r in df.groupBy(sharding._cell(F.col("c"), firsts).alias("cell")).count().collect()}
+    assert set(counts) == set(range(8)) and max(counts.values()) - min(counts.values()) <= 8
