@@ -339,7 +339,8 @@ def similar_groups(
         pairs = pairs.join(at("u", "a"), "u").join(at("v", "b"), "v").select("a", "b")
         same = sets.select("id", "fp").join(prints.withColumnRenamed("id", "a"), "fp").where("a <> id").select("a", F.col("id").alias("b"))
         edges = cut(_alike(pairs.unionByName(same), sets, similarity), "similar-edges").toDF("u", "v")
-        known = cut(connected_components(edges, "similar-cc"), "similar-roots").toDF("id", "root")
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        known = both.groupBy(F.col("u").alias("id")).agg(F.least(F.min("v"), F.col("u")).alias("root"))  # one name only within a group, if not one for it all
 
         grouped = sets.join(known, "id", "left").withColumn("root", F.coalesce("root", "id"))
         near = cut(_islands(_prefixes(grouped, similarity), similarity), "similar-near")
