@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,7 +39,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every token piece of every document and its place in a sequence of 2048."""
-    return packing.pack_documents(docs, tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return packing.pack_documents(docs, tokenizer("byte_bpe_50k.json"))
 
 
 STAGES = [("quality", quality), ("lines", lines), ("near copies", near_copies), ("secrets", secret_scan), ("packing", pack)]
