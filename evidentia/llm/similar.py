@@ -213,8 +213,9 @@ def _islands(prefixes: DataFrame, similarity: float) -> DataFrame:
     before = F.max("reach").over(order.rowsBetween(Window.unboundedPreceding, -1))
     begun = prefixes.withColumn("reach", reach).withColumn("new", F.when(before >= F.col("n"), 0).otherwise(1))
     runs = begun.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    mixed = runs.groupBy("key", "run").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("id").alias("v")).where("lo < hi").select("key", "run", "v")
-    return runs.select("key", "run", F.col("id").alias("u")).join(mixed, ["key", "run"]).select("u", "v").distinct()
+    run = Window.partitionBy("key", "run")
+    edges = runs.select(F.col("id").alias("u"), F.min("id").over(run).alias("v"), F.min("root").over(run).alias("lo"), F.max("root").over(run).alias("hi"))
+    return edges.where("lo < hi").select("u", "v")
 
 
 def forest(sets: list[np.ndarray], sides: np.ndarray, roots: np.ndarray, similarity: float) -> list[tuple[int, int]]:
@@ -343,12 +344,9 @@ def similar_groups(
         known = both.groupBy(F.col("u").alias("id")).agg(F.least(F.min("v"), F.col("u")).alias("root"))  # one name only within a group, if not one for it all
 
         grouped = sets.join(known, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        near = cut(_islands(_prefixes(grouped, similarity), similarity), "similar-near")
-        if not near.isEmpty():
-            blocks_of = connected_components(near, "similar-cc").toDF("id", "block")
-            more = _links_in_blocks(blocks_of.join(grouped.select("id", "root", "hashes"), "id"), similarity, block)
-            edges = edges.unionByName(cut(more, "similar-more"))
-        roots = cut(connected_components(edges, "similar-cc"), "similar-roots").toDF("id", "root")
+        blocks_of = connected_components(_islands(_prefixes(grouped, similarity), similarity), "similar-near").toDF("id", "block")
+        more = _links_in_blocks(blocks_of.join(grouped.select("id", "root", "hashes"), "id"), similarity, block)
+        roots = connected_components(edges.unionByName(cut(more, "similar-more")), "similar-cc").toDF("id", "root")
         classes = classes.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     else:
         classes = classes.withColumn("root", F.col("id"))
