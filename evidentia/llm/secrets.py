@@ -58,9 +58,28 @@ def format_examples(n: int = 150, seed: int = 7) -> list[tuple[str, str]]:
     return [(rnd.choice(prefixes) + "".join(rnd.choices(letters, k=rnd.choice(lengths))), kind) for kind, (prefixes, letters, lengths) in FORMATS.items() for _ in range(n)]
 
 
+def plain_examples(n: int = 300, seed: int = 7) -> dict[str, list[str]]:
+    """Ordinary long tokens by kind, made from a fixed seed: what texts hold beside credentials."""
+    rnd = random.Random(seed)
+    word = lambda: "".join(rnd.choice("bcdfghklmnprstvw") + rnd.choice("aeiou") + rnd.choice(["", "n", "s", "r"]) for _ in range(rnd.randrange(1, 4)))
+    words = lambda lo, hi: [word() for _ in range(rnd.randrange(lo, hi))]
+    number = lambda digits: str(rnd.randrange(10**digits))
+    makers = {
+        "path": lambda: "/".join(words(3, 6)) + rnd.choice([".html", ".py", ".txt", "/", "/" + number(4)]),
+        "slug": lambda: rnd.choice("-_.").join(words(3, 8) + [number(4)] * rnd.randrange(2)),
+        "camel": lambda: "".join(w.capitalize() for w in words(3, 7)) + rnd.choice(["", number(2)]),
+        "shout": lambda: rnd.choice(["_", "-", ""]).join(words(3, 7)).upper(),
+        "acronym": lambda: "".join(w.upper() if i == 1 else w.capitalize() for i, w in enumerate(words(3, 7))),
+        "number": lambda: rnd.choice(["2024-0", "20240", "+", "", "v1.", "10."]) + rnd.choice([number(16), ".".join(number(3) for _ in range(5)), f"{number(2)}T{number(6)}.{number(6)}", "-".join(number(4) for _ in range(4))]),
+    }
+    return {kind: [make() for _ in range(n)] for kind, make in makers.items()}
+
+
 #: Natural logarithm of how many characters a symbol stands for.
 SPREAD = {s: math.log(sum(x == s for x in CLASSES.values())) for s in ALPHABET}
 
+#: Log odds over the likeliest ordinary kind that make a candidate a secret. Tests measure it on formats and tokens not learnt from.
+MARGIN = 7.0
 #: What a character of a filler must be likelier by: any long string is likeliest under its own counts.
 HANDICAP = 0.5
 
@@ -185,11 +204,12 @@ def infer(words: list[str], alpha: float = 0.05, smooth: float = 0.05) -> Automa
 
 @dataclass
 class Model:
-    """Automata by kind and one of ordinary tokens; ``margin``: log odds that a hit takes."""
+    """Automata by kind, of the documents' ordinary tokens and of made ones; ``margin``: log odds that a hit takes."""
 
     kinds: dict[str, Automaton]
     ordinary: Automaton | None
-    margin: float = 7.0
+    margin: float = MARGIN
+    plain: tuple[Automaton, ...] = ()
 
     def kind_of(self, value: str) -> str | None:
         """The kind under which a candidate is likeliest, if likely enough to be a credential."""
@@ -198,7 +218,7 @@ class Model:
         word = symbols(value)
         score, kind = max((a.log_likelihood(word), k) for k, a in self.kinds.items())
         plain = self.ordinary.log_likelihood(word) if self.ordinary else -len(word) * math.log(len(ALPHABET))
-        plain = max(plain, repetition(value) - HANDICAP * len(value) + sum(map(SPREAD.__getitem__, word)))
+        plain = max(plain, *(a.log_likelihood(word) for a in self.plain), repetition(value) - HANDICAP * len(value) + sum(map(SPREAD.__getitem__, word)))
         return kind if score - plain >= self.margin else None
 
 
@@ -238,13 +258,13 @@ def smallest(docs: DataFrame, n: int) -> DataFrame:
     return docs.where(F.xxhash64("doc_id") <= F.lit(last)) if last is not None else docs.limit(0)
 
 
-def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = 20_000, per_kind: int = 300, extra: list[tuple[str, str]] | None = None, margin: float = 7.0) -> Model:
+def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = 20_000, per_kind: int = 300, extra: list[tuple[str, str]] | None = None, margin: float = MARGIN) -> Model:
     """A model from at most ``sample`` documents, those whose ids have the smallest hashes.
 
     Labelled credentials are the values that base patterns match there (by kind: whole-hex
     values count as hex) and ``extra`` (value, kind), by default examples of public formats;
     ``per_kind`` of each are used, of long ones the first ``LONGEST`` characters. Candidates that no pattern matches train the automaton
-    of ordinary tokens. Whatever the table, at most ``sample`` texts are read for this and
+    of ordinary tokens, beside those of ``plain_examples``. Whatever the table, at most ``sample`` texts are read for this and
     ``per_kind`` strings a kind reach the driver.
     """
 
@@ -270,7 +290,8 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: i
     for value, kind in format_examples() if extra is None else extra:
         words.setdefault(kind, []).append(value)
     usable = {k: [symbols(v) for v in sorted(vs)[:per_kind] if all(c in CLASSES for c in v)] for k, vs in words.items()}
-    return Model({k: infer(v) for k, v in sorted(usable.items()) if len(v) >= 20}, infer([symbols(v) for v in ordinary]) if ordinary else None, margin)
+    made = tuple(infer([symbols(v) for v in vs]) for vs in plain_examples().values())
+    return Model({k: infer(v) for k, v in sorted(usable.items()) if len(v) >= 20}, infer([symbols(v) for v in ordinary]) if ordinary else None, margin, made)
 
 
 def hash_of(value: str) -> int:

@@ -97,3 +97,31 @@ def test_learns_from_the_start_of_long_strings():
     found = secrets.infer(words)
     assert len(found.ends) <= secrets.LONGEST + 1
     assert found.log_likelihood(words[0][:30]) > secrets.infer([secrets.symbols("zz")] * 30).log_likelihood(words[0][:30])
+
+
+def test_precision_and_recall_on_what_was_not_learnt():
+    rnd = random.Random(99)
+    mixed = secrets.UPPER + secrets.LOWER + secrets.DIGIT
+    draw = lambda pool, n: "".join(rnd.choices(pool, k=n))
+    words = {}
+    for v, k in secrets.format_examples():
+        words.setdefault(k, []).append(secrets.symbols(v))
+    words["hex"] = [secrets.symbols(draw("0123456789abcdef", 40)) for _ in range(200)]
+    made = tuple(secrets.infer([secrets.symbols(v) for v in vs]) for vs in secrets.plain_examples().values())
+    ordinary = secrets.infer([secrets.symbols(draw("thereandoution", rnd.randrange(16, 30)) + rnd.choice(["", ".com/825", ".html"])) for _ in range(300)])
+    model = secrets.Model({k: secrets.infer(w) for k, w in words.items()}, ordinary, plain=made)
+    found = lambda values: sum(model.kind_of(v) is not None for v in values) / len(values)
+    again = {}
+    for v, k in secrets.format_examples(200, seed=5):
+        again.setdefault(k, []).append(v)
+    assert all(found(vs) >= 0.98 for vs in again.values())
+    unseen = {  # formats that no example has
+        "npm": [f"npm_{draw(mixed, 36)}" for _ in range(200)], "mail": [f"SG.{draw(mixed + '-_', 22)}.{draw(mixed + '-_', 43)}" for _ in range(200)],
+        "web": [f"eyJ{draw(mixed, 33)}.eyJ{draw(mixed, 100)}.{draw(mixed + '-_', 43)}" for _ in range(200)], "digits": [f"v1_{draw('0123456789abcdef', 64)}" for _ in range(200)],
+    }
+    rates = {k: found(vs) for k, vs in unseen.items()}
+    assert min(rates.values()) >= 0.95, rates
+    assert found([f"hf_{draw(secrets.UPPER + secrets.LOWER, 34)}" for _ in range(200)]) >= 0.7  # letters alone are hardest
+    word = lambda: draw("aeioulnrst", rnd.randrange(3, 10))
+    shapes = [lambda: "-".join(word() for _ in range(5)), lambda: "/".join(word() for _ in range(4)) + ".html", lambda: ".".join(word() for _ in range(5)), lambda: "".join(word().capitalize() for _ in range(4)), lambda: str(rnd.randrange(10**18)).zfill(18), lambda: "=" * rnd.randrange(16, 60)]
+    assert found([v for shape in shapes for v in (shape() for _ in range(200)) if secrets.CANDIDATE.fullmatch(v)]) <= 0.01
