@@ -25,6 +25,27 @@ def test_as_the_library(text):
     assert CODEC.decode(CODEC.encode(text)) == CODEC.library.decode(CODEC.library.encode(text))
 
 
+def test_both_agendas_agree():
+    for text in CASES:
+        normal = pieces.SPACE + text.replace(" ", pieces.SPACE)
+        old, pieces.SHORT = pieces.SHORT, 0
+        try:
+            by_heap = CODEC._agenda(normal)
+        finally:
+            pieces.SHORT = old
+        assert by_heap == CODEC._short_agenda(normal)
+
+
+@pytest.mark.parametrize("check", ["segments", "texts"])
+def test_a_difference_raises(check):
+    c = pieces.PieceCodec(MODEL, check)
+    a, b = (c.ids[pieces.SPACE + w] for w in ("the", "of"))
+    c._one[pieces.SPACE + "the"] = b.to_bytes(4, "little")
+    with pytest.raises(AssertionError):
+        pieces._encoded(c, ["one of the two"])
+    assert a != b
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.one_of(st.text(max_size=60), st.text(alphabet=" ▁theaés\n", max_size=60)))
 def test_any_text(text):
