@@ -44,6 +44,11 @@ def _digest(words: list[bytes]) -> str:
     return xxhash.xxh3_128_hexdigest(b" ".join(words))
 
 
+def text_hash(text: Column) -> Column:
+    """What tells rows of one doc_id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def spare(n: int, similarity: float) -> int:
     """How many of its ``n`` members a set can have that a like set lacks."""
     return n - math.ceil(n * similarity - 1e-9)
@@ -58,12 +63,12 @@ def needed(n: int, similarity: float) -> int:
 
 
 def _prints(docs: DataFrame, shingle_words: int, seed: int, set_words: int, similarity: float) -> DataFrame:
-    """``doc_id, digest, fp, n, prefix``: a hash of the word sequence, the SimHash, the set's size and its smallest members."""
+    """``doc_id, text_hash, digest, fp, n, prefix``: a hash of the word sequence, the SimHash, the set's size and its smallest members."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             digests, fps, sizes, prefixes = [], [], [], []
-            for raw in b.column(1):
+            for raw in b.column(2):
                 words = words_of(raw.as_py())
                 digests.append(_digest(words))
                 fps.append(_signed(simhash_of(shingles(words, shingle_words), seed)))
@@ -72,10 +77,11 @@ def _prints(docs: DataFrame, shingle_words: int, seed: int, set_words: int, simi
                 sizes.append(n)
                 prefixes.append(hashes[: spare(n, similarity) + needed(n, similarity)].view(np.int64))
             arrays = [pa.array(digests, pa.string()), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *arrays], names=["doc_id", "digest", "fp", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *arrays], names=["doc_id", "text_hash", "digest", "fp", "n", "prefix"])
 
-    out = docs.select("doc_id").withColumns({"digest": F.lit(""), "fp": F.lit(0).cast("long"), "n": F.lit(0), "prefix": F.array(F.lit(0).cast("long"))}).schema
-    return docs.select("doc_id", F.col("text").cast("binary").alias("raw")).mapInArrow(run, out)
+    given = docs.select("doc_id", text_hash(F.col("text")).alias("text_hash"))
+    out = given.withColumns({"digest": F.lit(""), "fp": F.lit(0).cast("long"), "n": F.lit(0), "prefix": F.array(F.lit(0).cast("long"))}).schema
+    return docs.select("doc_id", text_hash(F.col("text")).alias("text_hash"), F.col("text").cast("binary").alias("raw")).mapInArrow(run, out)
 
 
 def _shared(members: DataFrame) -> DataFrame:
@@ -295,7 +301,7 @@ def similar_groups(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, set_words: int = 5,
     shingle_words: int = 3, seed: int = 42, radius: int = 3, blocks: int = 6, shared: int = 3, max_run: int = MAX_RUN, block: int = BLOCK,
 ) -> DataFrame:
-    """Groups of near copies: ``doc_id, component_id``, a row for each row with a doc_id.
+    """Groups of near copies: ``doc_id, text_hash, component_id``, a row for each row with a doc_id.
 
     Texts with one sequence of words (ASCII white space, A-Z lower-cased) are one class.
     Classes link when the sets of their ``set_words``-word shingles are alike by
@@ -352,4 +358,17 @@ def similar_groups(
         classes = classes.withColumn("root", F.col("id"))
     named = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
     ids = classes.select("digest", "root").join(named, "root").select("digest", "component_id")
-    return rows.select("doc_id", "digest").join(ids, "digest").select("doc_id", "component_id")
+    return rows.select("doc_id", "text_hash", "digest").join(ids, "digest").select("doc_id", "text_hash", "component_id")
+
+
+def without_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``docs`` with one row of each group of near copies, the one of the smallest doc_id.
+
+    Rows that share that id and are alike, or are repeated, are one document, too, and the one
+    with the smallest text hash stays. Rows without an id stay.
+    """
+    groups = similar_groups(docs, doc_id, text, **options)
+    first = groups.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("f")).select(F.col("f.doc_id").alias("__id"), F.col("f.text_hash").alias("__hash"))
+    keyed = docs.where(F.col(doc_id).isNotNull()).withColumns({"__id": F.col(doc_id), "__hash": text_hash(F.col(text))})
+    kept = keyed.join(first, ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"]).select(*docs.columns)
+    return kept.unionByName(docs.where(F.col(doc_id).isNull()))

@@ -92,3 +92,29 @@ def test_packing_holds_all(spark, stages):
     assert max(bins.values()) <= 2048 and len(bins) <= -(-sum(bins.values()) // 2048) + 1
     run = corpus_pipeline.run(spark, folder)
     assert sorted((r.doc_id, r.piece, r.ids_crc32) for r in run.collect()) == sorted((r.doc_id, r.piece, r.ids_crc32) for r in out[5].collect())
+
+
+def test_odd_rows_pass_every_stage(spark, stages, tmp_path):
+    folder, out = stages
+    good = " ".join(["plain", "words", "of", "a", "good", "text"] * 3)
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, digest string, key string, text_hash long, block int, length string, bucket int"
+    more = ("x", "y", 1, 2, "z", 3)
+    odd = [(1, None), (2, ""), (None, "no id here"), (None, None), (7, good), (7, good), (8, good.upper()), (7, "another text of the same id " * 3), (9, " \n\t\n"), (10, "long " * 30_000 + "<|endoftext|>")]
+    df = spark.createDataFrame([(i, t, None, "s", 0, *more) for i, t in odd], kinds)
+    rows = lambda df: sorted(((str(r.doc_id), str(r.text)) for r in df.collect()))
+    assert corpus_pipeline.quality(spark, df, folder).columns == df.columns
+    lined = corpus_pipeline.lines(spark, df, folder)
+    assert lined.columns == df.columns and lined.count() == len(odd)
+    assert [(r.digest, r.key, r.text_hash, r.block, r.length, r.bucket) for r in lined.collect()] == [more] * len(odd)
+    single = corpus_pipeline.near_copies(spark, df, folder)
+    assert rows(single) == sorted([("1", "None"), ("None", "no id here"), ("None", "None"), ("7", good), ("7", odd[7][1]), ("10", odd[9][1])]) and single.columns == df.columns
+    clean = corpus_pipeline.secret_scan(spark, df, folder)
+    assert rows(clean) == rows(df) and clean.columns == df.columns
+    packed = corpus_pipeline.pack(spark, df, folder).groupBy("doc_id").sum("length").collect()
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    want = {}
+    for i, t in odd:
+        want[i] = want.get(i, 0) + len(tok.encode(t or "", add_special_tokens=False).ids) + 1
+    assert {r.doc_id: r[1] for r in packed} == want
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, df.limit(0), folder).count() == 0
