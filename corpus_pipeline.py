@@ -1,4 +1,9 @@
-"""The corpus pipeline: documents through five stages, each one operator of ``evidentia.llm``."""
+"""The corpus pipeline: documents through five stages, each one operator of ``evidentia.llm``.
+
+Columns of ``documents`` beyond ``doc_id``, ``text`` and ``n_chars`` pass through the first four
+stages untouched, whatever their names (``n_lines`` and ``n_removed`` become those of the lines
+stage).
+"""
 
 from __future__ import annotations
 
@@ -9,36 +14,53 @@ from evidentia.llm import linecrf, packing, secrets, similar, winnow
 from evidentia.llm.common import cut, table
 from evidentia.llm.queries import tokenizer
 
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line field, learnt from the labels, holds to be good."""
+    """Documents that the line field, learnt from the labels, holds to be good.
+
+    A null or empty text is scored as one line without words; very long texts are scored whole;
+    repeated rows and ties of ids are each scored; without labels or rows the result is empty.
+    """
     model = linecrf.learn(docs, table(spark, sf_dir, "labels"))
     return linecrf.score(docs, model, out="__score").where(F.col("__score") >= linecrf.GOOD).drop("__score")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without line runs that stand earlier; those that lose all their lines go."""
+    """Documents without line runs that stand earlier; those that lose all their lines go.
+
+    Null and empty texts stay as they are; very long texts are read whole; repeated rows are one
+    document and stay as often as they stand there; an empty table gives an empty result.
+    """
     done = winnow.dedup_lines(docs).where("n_removed = 0 or n_removed < n_lines")
     return done.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest doc_id, of each group of near copies; rows without an id stay.
+    """One document, that of the smallest doc_id, of each group of near copies; rows without an id stay.
 
     Near copies: all texts whose sets of five-word shingles are alike by 0.8 or more (Jaccard).
+    Null, empty and wordless texts are one group; very long texts are compared whole; of
+    repeated rows one stays; an empty table gives an empty result.
     """
-    groups = similar.similar_groups(docs)
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    return similar.without_copies(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their secrets replaced by a mark."""
+    """Documents with their secrets replaced by a mark.
+
+    Null texts stay null; very long texts are scanned whole; repeated rows are each scanned; an
+    empty table gives an empty result.
+    """
     clean = secrets.redact(docs, secrets.learn(docs))
     return clean.withColumn("n_chars", F.when(F.contains("text", F.lit("[SECRET]")), F.length("text").cast("long")).otherwise(F.col("n_chars")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every token piece of every document and its place in a sequence of 2048."""
+    """Every token piece of every document and its place in a sequence of 2048.
+
+    Null and empty texts are documents of one id; very long ones are cut into pieces; repeated
+    rows are each packed; an empty table gives an empty result.
+    """
     return packing.pack_documents(docs, tokenizer("byte_bpe_50k.json"))
 
 
