@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -167,5 +168,9 @@ def aggregate(steps: DataFrame, by: str | Callable = "mean", key: str = "stmt_ha
     rows = steps.where(F.col(score).isNotNull())
     if isinstance(by, str):
         return rows.groupBy(key).agg(AGGREGATORS[by](F.col(score)).alias("belief"), F.count(F.lit(1)).alias("n"))
-    fold = F.udf(lambda xs: float(by(list(xs))), "double")
+
+    @F.pandas_udf("double")
+    def fold(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda xs: float(by(xs.tolist())))
+
     return rows.groupBy(key).agg(F.array_sort(F.collect_list(score)).alias("__s"), F.count(F.lit(1)).alias("n")).select(key, fold("__s").alias("belief"), "n")

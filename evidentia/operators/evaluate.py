@@ -11,15 +11,20 @@ from pyspark.sql.window import Window
 from ..functions.columns import lookup
 
 
-def average_precision(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+def average_precision(scored: DataFrame, score: str = "score", label: str = "label", slices: int = 1000) -> DataFrame:
     """Average precision: precision at each distinct score, weighted by the recall it adds.
 
-    Ties are one step, so the running sums are over distinct scores, not rows; where scores
-    are continuous that order is one task's work on a pre-aggregated table.
+    Ties are one step, so the running sums are over distinct scores, not rows. They run by
+    ``slices`` of the scores from 0 to 1 and begin with the sums of the slices above, so no
+    task has the whole order.
     """
-    steps = scored.groupBy(score).agg(F.sum(label).alias("tp"), F.count(F.lit(1)).alias("n"))
-    over = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    run = steps.select("tp", F.sum("tp").over(over).alias("ctp"), F.sum("n").over(over).alias("cn"))
+    part = F.floor(F.least(F.greatest(F.col(score).cast("double"), F.lit(0.0)), F.lit(1.0)) * slices)
+    steps = scored.groupBy(score).agg(F.sum(label).alias("tp"), F.count(F.lit(1)).alias("n")).withColumn("part", part)
+    above = Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each slice
+    sums = steps.groupBy("part").agg(F.sum("tp").alias("ptp"), F.sum("n").alias("pn"))
+    sums = sums.select("part", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(c) for c in ("ptp", "pn")])
+    over = Window.partitionBy("part").orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
+    run = steps.join(F.broadcast(sums), "part").select("tp", (F.col("ptp") + F.sum("tp").over(over)).alias("ctp"), (F.col("pn") + F.sum("n").over(over)).alias("cn"))
     total = F.sum("tp")
     return run.agg(F.when(total > 0, F.sum(F.col("tp") * F.col("ctp") / F.col("cn")) / total).alias("auprc"))
 

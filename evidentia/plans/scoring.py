@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
 from ..functions import relations as R
 from ..functions.columns import hex16, short_sha
-from ..operators import claims, contamination, context, decide, entities, routing
+from ..operators import claims, contamination, context, curate, decide, entities, routing
 from ..sources import corpus, store
 from ..streaming import tail
 from .catalogue import ORACLE_SQL, QUERIES, query, rounded
@@ -116,17 +118,113 @@ def pair_match(v):
     return contamination.same_pair(two(v("benchmark"), "item_id", "example_id"), two(v("documents"), "doc_id", "eval_id"))
 
 
-@query("SELECT l_orderkey AS k, max(l_quantity) AS quantity FROM {lineitem} GROUP BY 1")
+@query("SELECT l_orderkey * 10 + l_linenumber AS id, o_orderpriority AS tag, o_custkey AS curator FROM {lineitem} JOIN {orders} ON o_orderkey = l_orderkey WHERE l_returnflag = 'R'")
+def curation_join(v):
+    evidence = v("lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("source_hash"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"))
+    curations = v("orders").select(F.col("o_orderkey").alias("source_hash"), F.col("o_orderpriority").alias("tag"), F.col("o_custkey").alias("curator"))
+    return curate.curated(evidence, curations).select("id", "tag", "curator")
+
+
+@query("""WITH r AS (SELECT stmt_hash AS source_hash, subject, object, text, evidence_hash AS id FROM {sentence}), a AS (SELECT * FROM r WHERE source_hash % 3 <> 0 AND source_hash % 7 <> 0 AND NOT (subject = 'GS1' AND object IN ('GP1', 'GP2')))
+  SELECT source_hash, min(id) AS id FROM a GROUP BY 1""")
+def holdout_exclusions(v):
+    rows = v("sentence").select(F.col("stmt_hash").alias("source_hash"), "subject", "object", "text", F.col("evidence_hash").alias("id"))
+    keys = curate.excluded(*[rows.where(f"source_hash % {n} = 0").select("source_hash") for n in (3, 7)])
+    pairs = curate.excluded(*[rows.select(F.lit("GS1").alias("subject"), F.lit(o).alias("object")).limit(1) for o in ("GP1", "GP2")])
+    return curate.available(rows, keys, pairs, order="id").select("source_hash", "id")
+
+
+@query("SELECT DISTINCT truth_set_id FROM {target_label} WHERE target_kind = 'evidence'")
+def verdict_truth_sets(v):
+    return curate.verdict_truth_sets(v("target_label").withColumn("field", F.lit("verdict")))
+
+
+@query("""SELECT stmt_hash, CASE stmt_type WHEN 'Complex' THEN 'protein' WHEN 'Inhibition' THEN 'membrane,complex' ELSE '' END AS domains, CASE stmt_hash % 3 WHEN 0 THEN concat('S', CAST(stmt_hash AS VARCHAR)) WHEN 1 THEN 'Y' ELSE '' END AS sites FROM {statement}""")
+def claim_admits(v):
+    kind = F.when(F.col("stmt_type") == "Inhibition", "Translocation").otherwise(F.col("stmt_type"))
+    residue, position = F.when(F.col("stmt_hash") % 3 == 0, "S").when(F.col("stmt_hash") % 3 == 1, "Y"), F.when(F.col("stmt_hash") % 3 == 0, F.col("stmt_hash").cast("string"))
+    return v("statement").select("stmt_hash", F.array_join(curate.binding_domains(kind), ",").alias("domains"), F.array_join(curate.acceptable_sites(residue, position), ",").alias("sites"))
+
+
+_GROUNDED = [("FPLX", "TNF", "TNF", 0.9, "family"), ("HGNC", "x", "MIR21", 0.9, "mirna"), (None, "let-7", None, None, "mirna"), ("HGNC", "TNF", None, 0.1, "cytokine_or_ligand"), ("CHEBI", "IL6", "IL6", 0.2, "small_molecule"), ("HGNC", "TP53", "TP53", 0.59, "ambiguous"), ("HGNC", "TP53", "TP53", 0.6, "protein"), (None, "q", None, None, "unknown"), ("MESH", "q", "q", None, "protein")]
+
+
+@query("SELECT s_suppkey AS id, CASE s_suppkey % 9 " + " ".join(f"WHEN {i} THEN '{g[4]}'" for i, g in enumerate(_GROUNDED)) + " END AS kind FROM {supplier}")
+def semantic_classes(v):
+    field = lambda j, kind: F.get(F.array(*[F.lit(g[j]).cast(kind) for g in _GROUNDED]), (F.col("s_suppkey") % 9).cast("int"))
+    return v("supplier").select(F.col("s_suppkey").alias("id"), context.semantic_class(field(0, "string"), field(1, "string"), field(2, "string"), field(3, "double")).alias("kind"))
+
+
+#: A sentence for each pattern of the catalogue, in its order; A is the agent, B the target.
+_SENTENCES = """A phosphorylates B at S383.|B is phosphorylated by A|phosphorylation of B by A|A-induced B phosphorylation|A-mediated B acetylation|A-dependent phosphorylation of B|A phosphorylation of B|B phosphorylation by A|A also increases the phosphorylation of B|A, which in turn phosphorylates B
+A binds to B|binding of A to B|A interacts with B|complex of A and B|A/B interaction|interaction between A and B|A recruits B|A binding to B|A's interaction with B|A forms a complex with B|A and B complex|binding affinity of A for B|A bound directly to B|A is stably associated with B|MEK and A bound to B|A protein binding to B
+A activates B|A-induced B activation|A-mediated B activation|activation of B by A|A activation of B|A triggered the activation of B|A-induced activation of B|A-induced activation of FOS, JUN and B|A stimulates the release of B|A-induced release of IL6 and B
+A inhibits the activation of B|A suppresses B signaling|reduction in B activity by A|A-mediated decrease in B activity
+A upregulates B expression|A induces B expression|B expression is increased by A|A-induced B expression|A signalling is required to elevate B|A further induces the expression of B|A increases B and FOS expression|A increases FOS and B secretion"""
+_TEMPLATES = [(t, "modification binding activity activity amount".split()[i], "positive neutral positive negative positive".split()[i]) for i, group in enumerate(_SENTENCES.split("\n")) for t in group.split("|")]
+
+
+def _named(v, templates: list[str], every: int):
+    """Suppliers as claims about GA<n> and GB<n>, with a sentence by a template each."""
+    words = [F.array(*[F.lit(part) for part in _pieces(t)]) for t in templates]
+    a, b = F.concat(F.lit("GA"), F.col("id").cast("string")), F.concat(F.lit("GB"), F.col("id").cast("string"))
+    said = F.array_join(F.transform(F.get(F.array(*words), (F.col("id") % every).cast("int")), lambda w: F.when(w == "<A>", a).when(w == "<B>", b).otherwise(w)), "")
+    rows = v("supplier").select(F.col("s_suppkey").alias("id")).select("id", F.lit("Activation").alias("stmt_type"), F.array(a, b).alias("agents"), said.alias("text"), a.alias("a"), b.alias("b"))
+    names = F.array(*[F.struct(F.col(c).alias("name"), F.array(F.lower(c)).alias("aliases")) for c in "ab"])
+    return context.build(claims.parse(rows.withColumn("entities", names)))
+
+
+def _pieces(template: str) -> list[str]:
+    return [f"<{w}>" if w in ("A", "B") else w for w in re.split(r"\b([AB])\b", template)]
+
+
+@query("SELECT s_suppkey AS id, CASE s_suppkey % 48 " + " ".join(f"WHEN {i} THEN '{a}/{g}'" for i, (_, a, g) in enumerate(_TEMPLATES)) + " END AS relation, CASE s_suppkey % 48 WHEN 0 THEN 'S383' END AS site FROM {supplier}")
+def catalogue_patterns(v):
+    """What every pattern's sentence is found to say, if it says it of the claim's agent and target."""
+    wanted = F.get(F.array(*[F.lit(p[0]) for p in R.catalogue()]), (F.col("id") % 48).cast("int"))
+    own = F.filter("ctx.relations", lambda r: (r["agent"] == F.col("a")) & (r["target"] == F.col("b")) & (F.split_part(r["pattern_id"], F.lit("."), F.lit(1)) == F.split_part(wanted, F.lit("."), F.lit(1))))
+    first = F.get(own, F.lit(0))
+    return _named(v, [t for t, _, _ in _TEMPLATES], 48).select("id", F.concat(first["axis"], F.lit("/"), first["sign"]).alias("relation"), first["site"].alias("site"))
+
+
+#: Sentences with what the detectors find: sites, hedges, negation, the agent's perturbation.
+_DETECTED = [
+    ("phosphorylation of B by A at S102 and threonine 15", "S102,T15", "", False, None), ("A may bind B; residue Y15 is modified", "Y15", "may", False, None), ("A siRNA reduced B, as Fig. S12 shows", "", "", False, "loss_of_function"),
+    ("overexpression of A raised B", "", "", False, "gain_of_function"), ("A does not bind B", "", "", True, None), ("serine 727 of B is not a site of A", "S727", "", True, None),
+    ("A is thought to signal. Presumably to many, B is not known", "", "is thought to,presumably,presumably to", False, None),
+]
+
+
+@query("SELECT s_suppkey AS id, " + ", ".join("CASE s_suppkey % 7 " + " ".join(f"WHEN {i} THEN " + ("NULL" if d[j] is None else str(d[j]).upper() if j == 3 else f"'{d[j]}'") for i, d in enumerate(_DETECTED)) + f" END AS {n}" for j, n in ((1, "sites"), (2, "hedges"), (3, "negated"), (4, "perturbation"))) + " FROM {supplier}")
+def detector_sentences(v):
+    return _named(v, [d[0] for d in _DETECTED], 7).select("id", F.array_join("ctx.sites", ",").alias("sites"), F.array_join("ctx.hedges", ",").alias("hedges"), "ctx.negated", F.col("ctx.subject_perturbation").alias("perturbation"))
+
+
+def _store(v) -> store.Store:
+    """A new store in the folder that driver and executors share, or a local one where none is named."""
+    spark = v("region").sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='evidentia-')}"
+    return store.Store(spark, f"{shared}/store-{uuid.uuid4().hex}").create()
+
+
+@query("SELECT CAST(stmt_hash AS VARCHAR) AS stmt_hash, CAST(max_by(supp % 50, position) AS DOUBLE) AS published_belief FROM {evidence} GROUP BY 1")
 def upsert_latest(v):
-    rows = v("lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_quantity").alias("quantity"), F.col("l_quantity").alias("seq"))
-    return store.latest(rows, ["k"], "seq").select("k", "quantity")
+    """Three batches of a table's rows, of each key the last one by position."""
+    s, rows = _store(v), v("evidence").select(F.col("stmt_hash").cast("string").alias("stmt_hash"), (F.col("supp") % 50).cast("double").alias("published_belief"), "position")
+    for part in ("position <= 2", "position = 3", "position > 3"):
+        s.upsert("statement", rows.where(part), order="position")
+    return s.read("statement").select("stmt_hash", "published_belief")
 
 
-@query("SELECT target_id, CASE target_id % 2 WHEN 0 THEN 'replaced' ELSE gold END AS gold FROM {truth}")
+@query("SELECT CAST(target_id AS VARCHAR) AS target_id, CASE target_id % 2 WHEN 0 THEN 'replaced' ELSE gold END AS gold FROM {truth}")
 def label_antijoin_upsert(v):
-    old = v("truth").select("target_id", "gold")
-    new = old.where("target_id % 2 = 0").withColumn("gold", F.lit("replaced"))
-    return old.join(new.select("target_id"), "target_id", "left_anti").unionByName(new)
+    """Labels loaded twice into one truth set: the second load replaces those with its keys."""
+    s = _store(v)
+    s.register_truth_set("gold", "Gold")
+    labels = v("truth").select(F.lit("evidence").alias("target_kind"), F.col("target_id").cast("string").alias("target_id"), F.lit("verdict").alias("field"), F.col("gold").alias("value_text"))
+    s.load_labels(labels, "gold")
+    s.load_labels(labels.where("cast(target_id as long) % 2 = 0").withColumn("value_text", F.lit("replaced")), "gold")
+    return s.read("truth_label").select("target_id", F.col("value_text").alias("gold"))
 
 
 @query("SELECT o_orderkey AS from_hash, coalesce(CAST(c_custkey + 1000000000 AS VARCHAR), concat('id', CAST(o_custkey AS VARCHAR))) AS to_hash FROM {orders} LEFT JOIN {customer} ON c_custkey = o_custkey AND c_custkey % 2 = 0")
@@ -194,7 +292,7 @@ def _tail(spark, sf_dir):
     schema = spark.read.parquet(path).schema
     shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
     events = tail.event_stream(spark, path + "*", schema)
-    name = f"tail_{abs(hash((sf_dir, id(events))))}"
+    name = f"tail_{uuid.uuid4().hex}"
     counts = events.groupBy(F.date_trunc("hour", "ts").alias("hour"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 3).alias("total"))
     q = counts.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{shared}/{name}").trigger(availableNow=True).start()
     q.awaitTermination()

@@ -242,3 +242,17 @@ def test_entities(spark):
     assert [r.status for r in got] == ["MATCH", "MATCH", "AMBIGUOUS", "MISMATCH", "UNRESOLVABLE"] and got[2].low_confidence
     t = spark.createDataFrame([("TNF", "the TNF level", True), ("TNF", "TNFR", False), ("NF-kappaB", "nfkappab here", True)], "n string, t string, w boolean")
     assert all(r.x == r.w for r in t.select("w", entities.mentioned(F.col("n"), F.col("t")).alias("x")).collect())
+
+
+def test_curations(spark):
+    from evidentia.operators import curate
+
+    evidence = spark.createDataFrame([(1, "a", "x"), (1, "b", "y"), (2, "c", "z"), (None, "d", "w")], "source_hash long, id string, tag string")
+    cur = spark.createDataFrame([(1, "ok", "p"), (1, "wrong", "q"), (3, "ok", "r"), (None, "ok", "s")], "source_hash long, tag string, curator string")
+    got = curate.curated(evidence, cur).select("id", "tag", "curation_tag", "curator").collect()
+    assert sorted(map(tuple, got)) == [("a", "x", "ok", "p"), ("a", "x", "wrong", "q"), ("b", "y", "ok", "p"), ("b", "y", "wrong", "q")]
+    rows = spark.createDataFrame([(1, "A", "B", "t", 2), (1, "A", "C", "t", 1), (2, "A", "B", "t", 3), (3, "?", "?", "t", 4), (4, "A", "D", "", 5), (5, "E", "F", "t", 6), (6, "A", "E", "t", 7)], "source_hash long, subject string, object string, text string, n int")
+    keys = curate.excluded(spark.createDataFrame([(6,), (None,)], "source_hash long"), spark.createDataFrame([(6,), (7,)], "source_hash long"))
+    assert keys.count() == 2
+    pairs = spark.createDataFrame([("E", "F")], "subject string, object string")
+    assert sorted((r.source_hash, r.n) for r in curate.available(rows, keys, pairs, order="n").collect()) == [(1, 1), (2, 3)]

@@ -66,6 +66,56 @@ def test_store(spark, folder, tmp_path):
     assert st.read("truth_label").count() == 2
 
 
+def test_versions_are_whole(spark, tmp_path):
+    st = store.Store(spark, f"file://{tmp_path}/store").create()
+    make = lambda *rows: spark.createDataFrame(rows, "key string, value string").coalesce(1)
+    read = lambda: {r.key: r.value for r in st.read("schema_meta").where("key <> 'version'").collect()}
+    st.upsert("schema_meta", make(("a", "1"), ("b", "1"), ("a", "2")))
+    assert read() == {"a": "2", "b": "1"}  # of one key the last stays
+    st.upsert("schema_meta", make(("a", "9"), ("a", "3")), order="value")
+    assert read() == {"a": "9", "b": "1"}
+    base = st.read("schema_meta")
+    v = st.version("schema_meta")
+
+    def dies(at):
+        raise OSError("killed")
+
+    # a writer that dies with its layer half written, and one that dies in the file of the next version
+    (tmp_path / "store" / "schema_meta" / f"{v + 1:08d}-dead").mkdir()
+    (tmp_path / "store" / "schema_meta" / "_versions" / f"{v + 1:08d}").write_text("0000")
+    assert st.version("schema_meta") == v and read() == {"a": "9", "b": "1"}
+    with pytest.raises(OSError):
+        st.run("v", "m", dies)
+    assert st.upsert("schema_meta", make(("c", "1"))) == v + 2 and read() == {"a": "9", "b": "1", "c": "1"}
+    # a reader that began before a publish still reads its own version
+    assert {r.key for r in base.collect()} == {"version", "a", "b"}
+    # of two writers from one version the second fails, and leaves nothing
+    seen, layers = st._current("schema_meta")
+    st.upsert("schema_meta", make(("d", "1")))
+    with pytest.raises(RuntimeError):
+        st._publish("schema_meta", make(("e", "1")), layers, seen)
+    assert read() == {"a": "9", "b": "1", "c": "1", "d": "1"}
+    for i in range(store.LAYERS + 2):
+        st.upsert("schema_meta", make(("n", str(i))))
+        assert len(st._current("schema_meta")[1]) <= store.LAYERS
+    assert read() == {"a": "9", "b": "1", "c": "1", "d": "1", "n": str(store.LAYERS + 1)}
+    st.vacuum("schema_meta", keep=1)
+    assert read()["n"] == str(store.LAYERS + 1) and not (tmp_path / "store" / "schema_meta" / f"{v + 1:08d}-dead").exists()
+
+
+def test_label_lines_and_run_hooks(spark, folder, tmp_path):
+    st = store.Store(spark, f"file://{tmp_path}/store").create()
+    st.register_truth_set("gold", "Gold")
+    (tmp_path / "more.jsonl").write_text('{"target": "255", "label": "correct"}\n{"target": "00000000000000ff", "label": "incorrect"}\n{"target": "zz", "label": "x"}\n{"label": "y"}\n{oops\n')
+    assert st.load_label_lines(f"file://{tmp_path}/more.jsonl", "gold") == {"n_lines": 5, "bad_json": 1, "missing_target": 1, "missing_label": 0, "bad_target": 1, "loaded": 2, "targets": 1}
+    assert [(r.target_id, r.field) for r in st.read("truth_label").collect()] == [("00000000000000ff", "verdict")]
+    steps = spark.createDataFrame([("s1", "e1", "aggregate", '{"score":0.9}', 12)], "stmt_hash string, evidence_hash string, step_kind string, output_json string, latency_ms int")
+    called = []
+    run = st.run("v1", "m", lambda r: steps, done=lambda r, n: called.append((r, n)), validity=lambda r: spark.createDataFrame([("mae", 0.5)], "metric_name string, value double"))
+    assert called == [(run, 1)] and [(r.run_id, r.value, r.computed_at is None) for r in st.read("metric").collect()] == [(run, 0.5, False)]
+    assert st.read("scorer_step").first().latency_ms == 12
+
+
 def test_runs(spark, tmp_path):
     st = store.Store(spark, f"file://{tmp_path}/store").create()
     steps = spark.createDataFrame([("s1", "e1", "aggregate", '{"score":0.9}'), ("s1", "e2", "aggregate", '{"score":null}')], "stmt_hash string, evidence_hash string, step_kind string, output_json string")
