@@ -301,12 +301,12 @@ def similar_groups(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, set_words: int = 5,
     shingle_words: int = 3, seed: int = 42, radius: int = 3, blocks: int = 6, shared: int = 3, max_run: int = MAX_RUN, block: int = BLOCK,
 ) -> DataFrame:
-    """Groups of near copies: ``doc_id, text_hash, component_id``, a row for each row with a doc_id.
+    """Groups of near copies: ``doc_id, text_hash, component_id, component_hash``, a row for each row with a doc_id.
 
     Texts with one sequence of words (ASCII white space, A-Z lower-cased) are one class.
     Classes link when the sets of their ``set_words``-word shingles are alike by
     ``similarity`` or more (Jaccard, on whole texts). ``component_id`` is the smallest doc_id
-    reachable over links, the row's own included. All links count, whatever the edit, up to
+    reachable over links, the row's own included, and ``component_hash`` tells its row from others of that id. All links count, whatever the edit, up to
     collisions of 64-bit hashes:
 
     1. Of a set's smallest hashes (three tenths of it, at 0.8) a like set has a third or more.
@@ -326,7 +326,7 @@ def similar_groups(
     """
     given = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
     rows = cut(_prints(given, shingle_words, seed, set_words, similarity), "similar-docs")
-    classes = rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp"), F.first("n").alias("n"))
+    classes = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.min("doc_id").alias("first_id"), F.first("fp").alias("fp"), F.first("n").alias("n"))
     classes = cut(classes.withColumn("id", F.monotonically_increasing_id()), "similar-classes")  # the numbering is fixed once it is written
 
     firsts = classes.select("digest", F.col("first_id").alias("doc_id"), "id")
@@ -356,9 +356,9 @@ def similar_groups(
         classes = classes.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     else:
         classes = classes.withColumn("root", F.col("id"))
-    named = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    ids = classes.select("digest", "root").join(named, "root").select("digest", "component_id")
-    return rows.select("doc_id", "text_hash", "digest").join(ids, "digest").select("doc_id", "text_hash", "component_id")
+    named = classes.groupBy("root").agg(F.min("first").alias("first"))
+    ids = classes.select("digest", "root").join(named, "root").select("digest", F.col("first.doc_id").alias("component_id"), F.col("first.text_hash").alias("component_hash"))
+    return rows.select("doc_id", "text_hash", "digest").join(ids, "digest").select("doc_id", "text_hash", "component_id", "component_hash")
 
 
 def without_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -368,7 +368,9 @@ def without_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     with the smallest text hash stays. Rows without an id stay.
     """
     groups = similar_groups(docs, doc_id, text, **options)
-    first = groups.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("f")).select(F.col("f.doc_id").alias("__id"), F.col("f.text_hash").alias("__hash"))
+    first = groups.where("doc_id = component_id and text_hash = component_hash").groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.count(F.lit(1)).alias("n"))
+    first = cut(first, "similar-first")
     keyed = docs.where(F.col(doc_id).isNotNull()).withColumns({"__id": F.col(doc_id), "__hash": text_hash(F.col(text))})
-    kept = keyed.join(first, ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"]).select(*docs.columns)
-    return kept.unionByName(docs.where(F.col(doc_id).isNull()))
+    once = keyed.join(first.where("n = 1"), ["__id", "__hash"], "left_semi")
+    repeated = keyed.join(first.where("n > 1"), ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"])  # only these are shuffled
+    return once.unionByName(repeated).select(*docs.columns).unionByName(docs.where(F.col(doc_id).isNull()))

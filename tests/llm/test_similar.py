@@ -95,7 +95,7 @@ def test_ids_and_edges(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, digest string, component_id string")
     found = sorted((r.doc_id, r.component_id) for r in similar.similar_groups(df).collect())
     assert found == [(3, 3), (3, 3), (5, 3)]
-    assert similar.similar_groups(df).columns == ["doc_id", "text_hash", "component_id"]
+    assert similar.similar_groups(df).columns == ["doc_id", "text_hash", "component_id", "component_hash"]
     again = df.unionByName(spark.createDataFrame([(3, "One two three", "", ""), (3, "other words", "", ""), (9, "OTHER words", "", "")], df.schema))
     kept = sorted((str(r.doc_id), r.text.lower().split()) for r in similar.without_copies(again).collect())
     assert kept == [("3", ["one", "two", "three"]), ("3", ["other", "words"]), ("None", ["one", "two", "three"])]
