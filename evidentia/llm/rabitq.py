@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by randomly rotated one-bit codes.
 
-A vector's residual from its centre is rotated at random and kept as one sign bit per
-dimension, with its length and its agreement with its own signs. From these an unbiased
+A vector's residual from its centre is rotated at random, into ``EXPAND`` times its dimensions,
+and kept as one sign bit for each of these, with its length and its agreement with its own signs. From these an unbiased
 estimate of an inner product and an error bound follow; only vectors whose bound lets them
 be among the nearest are scored on the original components.
 """
