@@ -266,6 +266,18 @@ def nominalisations(v):
     return v("sentence").select("evidence_hash", F.array_join(context.nominalisations(F.col("text")), ";").alias("phrases"))
 
 
+@query("""SELECT s_suppkey AS id, CASE s_suppkey % 3 WHEN 0 THEN concat('GA', s_suppkey, '-induced phosphorylation of GB', s_suppkey) WHEN 1 THEN concat('GA', s_suppkey, '-mediated degradation of GB', s_suppkey, ';GB', s_suppkey, '-dependent activation of GA', s_suppkey) ELSE '' END AS phrases FROM {supplier}""")
+def nominal_phrases(v):
+    said = ["A-induced phosphorylation of B", "A-mediated degradation of B and B-dependent activation of A", "A phosphorylates B"]
+    return _named(v, said, 3).select("id", F.array_join("nominalised", ";").alias("phrases"))
+
+
+@query("""SELECT s_suppkey AS id, CASE s_suppkey % 3 WHEN 0 THEN concat('GA', s_suppkey, ' binds to GB', s_suppkey, '. / Then GB', s_suppkey, ' binds GA', s_suppkey, '!') WHEN 1 THEN concat('GA', s_suppkey, ' binds GB', s_suppkey) ELSE concat('Is GA', s_suppkey, ' found? No.') END AS clauses FROM {supplier}""")
+def sentence_clauses(v):
+    said = ["A binds to B. Then B binds A! It is so.", "A binds B", "Is A found? No."]
+    return _named(v, said, 3).select("id", F.array_join(context.clauses(F.col("text")), " / ").alias("clauses"))
+
+
 @query("SELECT evidence_hash, CAST('' AS VARCHAR) AS sites, CASE verb WHEN 6 THEN 'may' ELSE '' END AS hedges, verb = 5 AS negated, CAST(NULL AS VARCHAR) AS perturbation FROM {sentence}")
 def offset_detectors(v):
     return _pairs(v).select("evidence_hash", F.array_join("ctx.sites", ",").alias("sites"), F.array_join("ctx.hedges", ",").alias("hedges"), "ctx.negated", F.col("ctx.subject_perturbation").alias("perturbation"))
