@@ -36,6 +36,18 @@ def test_query(spark, duck, name):
         assert got == plain(tuple(r[i] for i in order) for r in cur.fetchall())
 
 
+def test_views_round_alike(spark, duck):
+    """Halves in decimals that doubles miss or reach only when multiplied: views have DuckDB's digits."""
+    from evidentia.plans.bindings import rounding
+
+    sql = "round(x / 500000, 4)"
+    xs = [9725.0 + 50 * i for i in range(4000)] + [-9725.0, 0.0]
+    want = duck.execute(f"select x, {sql} from (select unnest(?::DOUBLE[]) as x)", [xs]).fetchall()
+    spark.createDataFrame([(x,) for x in xs], "x double").createOrReplaceTempView("halves")
+    assert sorted(map(tuple, spark.sql(f"select x, {rounding(sql)} from halves").collect())) == sorted(want)
+    assert dict(want)[9725.0] == 0.0194
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
