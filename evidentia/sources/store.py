@@ -225,12 +225,17 @@ def _shaped(rows: DataFrame, like: DataFrame, *more: str) -> DataFrame:
 
 
 def _minus(rows: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
+    """Rows whose key ``new`` lacks.
+
+    Keys are never broadcast: Spark takes a layer for as small as its file's share of the key
+    columns, and in the driver millions of them are many times that.
+    """
     marks = new.select(*[F.col(k).alias(f"__{k}") for k in key])
     same = None
     for k in key:
         c = F.col(k).eqNullSafe(F.col(f"__{k}"))
         same = c if same is None else same & c
-    return rows.join(marks, same, "left_anti")
+    return rows.join(marks.hint("merge"), same, "left_anti")
 
 
 def latest(rows: DataFrame, key: list[str], order: str) -> DataFrame:

@@ -103,6 +103,16 @@ def test_versions_are_whole(spark, tmp_path):
     assert read()["n"] == str(store.LAYERS + 1) and not (tmp_path / "store" / "schema_meta" / f"{v + 1:08d}-dead").exists()
 
 
+def test_keys_of_layers_are_not_broadcast(spark, tmp_path):
+    """However small a layer's file is, its keys don't go through the driver."""
+    s = store.Store(spark, f"file://{tmp_path}/b").create()
+    for n in (1, 2, 3):
+        s.upsert("statement", spark.range(4).select(F.concat(F.lit("k"), F.col("id") % (n + 1)).alias("stmt_hash"), F.lit(float(n)).alias("published_belief")))
+    rows = s.read("statement")
+    assert {r.stmt_hash: r.published_belief for r in rows.collect()} == dict.fromkeys(["k0", "k1", "k2", "k3"], 3.0)
+    assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
 def test_label_lines_and_run_hooks(spark, folder, tmp_path):
     st = store.Store(spark, f"file://{tmp_path}/store").create()
     st.register_truth_set("gold", "Gold")
