@@ -53,3 +53,31 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert e.oracle_sql().keys() <= e.queries().keys()
+
+
+def test_containment_writes_only_what_may_meet(spark, monkeypatch):
+    """Against all pairs compared; of 300,000 windows hardly one that meets nothing is joined."""
+    import random
+
+    from evidentia.operators import contamination
+
+    written = {}
+
+    def counted(df, label, cut=contamination.cut):
+        out = cut(df, label)
+        written[label] = out.count()
+        return out
+
+    monkeypatch.setattr(contamination, "cut", counted)
+    r = random.Random(5)
+    said = lambda n: "".join(r.choice("abcdefgh é汉") for _ in range(n)).strip()
+    evals = {i: said(n) for i, n in enumerate([1, 2, 8, 29, 30, 31, 70] * 3 + [3000] * 100)}
+    examples = dict(enumerate([evals[50][100:140], evals[60], said(9) + evals[6] + said(9), said(20) + evals[3] + said(9), evals[70][5:34], said(50)]))
+    known = spark.createDataFrame(list(examples.items()), "example_id long, text string")
+    asked = spark.createDataFrame(list(evals.items()), "eval_id long, text string")
+    plain_ = lambda df: {x[0]: x[2] for x in df.withColumn("n", contamination.normalised(df["text"])).collect()}
+    t, u = plain_(known), plain_(asked)
+    want = {(i, j) for i, x in t.items() for j, y in u.items() if y and len(x) >= 30 and x not in u.values() and (x in y or y in x)}
+    assert {tuple(x) for x in contamination.contained(known, asked).collect()} == want
+    assert {i for i, _ in want} >= {0, 2, 3}
+    assert written["contained-asked"] < 200
